@@ -7,11 +7,13 @@ of persons neither holds. Both questions here are answered by narrowing instead:
 1. count rows per (group, value bucket), a bucket being a monotone function of
    the value, and run the counts up: this names the few buckets that hold the
    wanted ranks;
-2. sort only the distinct values of those buckets, with their counts.
+2. read again, keep only rows of those buckets, and sort their distinct values.
 
-A bucket spans 1/256 of a doubling (0.27 %), so for amounts around 100.00 it
-holds some 27 different cent values however many rows there are. Step 1 leaves
-at most buckets x groups rows, step 2 starts from (wanted ranks x groups) rows.
+Step 1 shuffles one row per task, group and bucket. Step 2 filters before it
+shuffles, against (wanted ranks x groups) rows. A bucket spans 1/256 of a
+doubling (0.27 %): for amounts around 100.00 it holds some 27 different cent
+values however many rows there are. Rows are read twice, so callers pass stage
+tables or projections of them.
 """
 
 from __future__ import annotations
@@ -83,41 +85,37 @@ def quantiles(
         F.struct(F.lit(i).alias("m"), F.col(s).cast("double").alias("v"))
         for i, s in enumerate(sources)
     ])
-    values = (
+    rows = (
         df.select(*keys, F.inline(measures))
-        .filter(F.col("v").isNotNull())
+        .filter("v is not null")
         .withColumn("bucket", value_bucket(F.col("v")))
-        .groupBy(*keys, "m", "bucket", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-    buckets = values.groupBy(*keys, "m", "bucket").agg(F.sum("n").alias("n"))
-    buckets = _running(buckets, [*keys, "m"], "bucket").withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*keys, "m"))
     )
-    wanted_probs = F.element_at(
-        F.array(*[F.array(*[F.lit(p) for p in probs[s]]) for s in sources]), F.col("m") + 1
+    group = [*keys, "m"]
+    buckets = _running(
+        rows.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("n")), group, "bucket"
+    ).withColumn("total", F.sum("n").over(Window.partitionBy(*group)))
+    per_measure = ", ".join(
+        f"array({', '.join(f'{p!r}D' for p in probs[s])})" for s in sources
     )
-    position = F.col("p") * (F.col("total") - 1)
     picks = (
-        buckets.withColumn("p", F.explode(wanted_probs))
-        .withColumn("frac", position - F.floor(position))
-        .withColumn("rank", F.explode(F.array(F.floor(position), F.ceil(position))))
-        .filter(
-            (F.col("rank") >= F.col("before"))
-            & (F.col("rank") < F.col("before") + F.col("n"))
+        buckets.withColumn("p", F.expr(f"explode(array({per_measure})[m])"))
+        .withColumn("position", F.expr("p * (total - 1)"))
+        .withColumn(
+            "rank", F.expr("explode(array_distinct(array(floor(position), ceil(position))))")
+        )
+        .filter("rank >= before and rank < before + n")
+        .selectExpr(
+            *group, "bucket", "p", "rank - before as rank", "position - floor(position) as frac"
         )
-        .select(*keys, "m", "bucket", "p", "frac", "rank", F.col("before").alias("ahead"))
-        .distinct()
     )
 
-    at = [*keys, "m", "bucket"]
-    found = _running(
-        values.join(_hint(picks, fixed_groups), at), [*at, "p", "rank"], "v"
-    ).filter(
-        (F.col("rank") >= F.col("ahead") + F.col("before"))
-        & (F.col("rank") < F.col("ahead") + F.col("before") + F.col("n"))
+    wish = [*group, "bucket", "p", "frac", "rank"]
+    held = (
+        rows.join(_hint(picks, fixed_groups), [*group, "bucket"])
+        .groupBy(*wish, "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    found = _running(held, wish, "v").filter("rank >= before and rank < before + n")
 
     def chosen(q: Quantile) -> list[Column]:
         here = (F.col("m") == sources.index(q.source)) & (F.col("p") == q.prob)
@@ -161,48 +159,42 @@ def rank_cuts(
     ``(value, tie key) <= (cut_value, cut_tie)``.
     """
     keys = list(keys)
-    rows = df.select(*keys, value.alias("v"), F.col(identifier).alias("id"))
-    values = (
-        rows.withColumn("bucket", value_bucket(F.col("v")))
-        .groupBy(*keys, "bucket", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(*keys, value.alias("v"), F.col(identifier).alias("id")).withColumn(
+        "bucket", value_bucket(F.col("v"))
     )
+    reached = "rank > before and rank <= before + n"
     buckets = _running(
-        values.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")), keys, "bucket"
+        rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")), keys, "bucket"
     )
     small = F.broadcast(cuts.select(*keys, "cut", "rank"))
-    reached = (F.col("rank") > F.col("before")) & (
-        F.col("rank") <= F.col("before") + F.col("n")
+    picks = _match(buckets, small, keys).filter(reached).selectExpr(
+        *keys, "cut", "bucket", "rank - before as rank"
     )
-
-    picks = _match(buckets, small, keys).filter(reached).select(
-        *keys, "cut", "bucket", (F.col("rank") - F.col("before")).alias("rank")
+    held = (
+        rows.join(F.broadcast(picks), [*keys, "bucket"])
+        .groupBy(*keys, "cut", "rank", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    cut_values = (
-        _running(values.join(F.broadcast(picks), [*keys, "bucket"]), [*keys, "cut"], "v")
-        .filter(reached)
-        .select(
-            *keys, "cut", F.col("v").alias("cut_value"),
-            (F.col("rank") - F.col("before")).alias("rank"),
-        )
+    cut_values = _running(held, [*keys, "cut", "rank"], "v").filter(reached).selectExpr(
+        *keys, "cut", "v as cut_value", "rank - before as rank"
     )
 
     # The rows that equal a cut value may be many: narrow their tie keys the same way.
     ties = (
-        rows.withColumnRenamed("v", "cut_value")
+        rows.select(*keys, F.col("v").alias("cut_value"), "id")
         .join(F.broadcast(cut_values), [*keys, "cut_value"])
         .withColumn("tie", tie_key(F.col("id")))
         .withColumn("prefix", F.substring("tie", 1, _TIE_PREFIX))
     )
     prefixes = _running(
         ties.groupBy(*keys, "cut", "rank", "prefix").agg(F.count(F.lit(1)).alias("n")),
-        [*keys, "cut"], "prefix",
-    ).filter(reached).select(*keys, "cut", "prefix", F.col("before").alias("ahead"))
+        [*keys, "cut", "rank"], "prefix",
+    ).filter(reached).selectExpr(*keys, "cut", "prefix", "rank - before as place")
     in_order = Window.partitionBy(*keys, "cut").orderBy("tie")
     return (
         ties.join(F.broadcast(prefixes), [*keys, "cut", "prefix"])
-        .withColumn("position", F.col("ahead") + F.row_number().over(in_order))
-        .filter(F.col("position") == F.col("rank"))
+        .withColumn("position", F.row_number().over(in_order))
+        .filter("position = place")
         .select(*keys, "cut", "cut_value", F.col("tie").alias("cut_tie"))
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.order_stats import Quantile, quantiles
-from ..functions.values import cap_at, exact_mean, exact_sum, floor_at, per_cent, round_even
+from ..functions.values import cap_at, currency, exact_mean, exact_sum, floor_at, per_cent, round_even
 from ..params import (
     DAYS_PER_YEAR,
     GROSS_MARGIN,
@@ -194,6 +194,16 @@ def clv_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def formatted_clv_table(scores: DataFrame) -> DataFrame:
+    """Value per segment as display text."""
+    return clv_summary(scores).select(
+        "rfm_segment",
+        F.format_number("customers", 0).alias("customers"),
+        *[currency(F.col(c)).alias(c) for c in ("median_clv", "mean_clv", "total_clv")],
+        F.concat(F.format_number("clv_share_pct", 1), F.lit("%")).alias("clv_share"),
+    )
+
+
 def cohort_tenure(rfm: DataFrame) -> DataFrame:
     """Median tenure of repeat buyers by number of orders."""
     return (

@@ -217,6 +217,6 @@ def formatted_segment_table(rfm: DataFrame) -> DataFrame:
         "rfm_segment",
         F.format_number("customers", 0).alias("customers"),
         F.concat(F.format_number("customer_pct", 1), F.lit("%")).alias("pct"),
-        F.concat(currency(F.col("median_spend"))).alias("median_spend"),
+        currency(F.col("median_spend")).alias("median_spend"),
         F.concat(F.format_number("median_recency", 0), F.lit(" days")).alias("median_recency"),
     )

@@ -38,7 +38,14 @@ def repeat_histories(rfm: DataFrame) -> DataFrame:
 
 
 def distinct_histories(histories: DataFrame) -> DataFrame:
-    return histories.groupBy(*HISTORY).agg(F.count(F.lit(1)).alias("customers"))
+    """Equal histories as one weighted row.
+
+    Few bytes but much arithmetic follow per row, so they are spread over all
+    cores instead of being merged into partitions by size.
+    """
+    cores = histories.sparkSession.sparkContext.defaultParallelism
+    counted = histories.groupBy(*HISTORY).agg(F.count(F.lit(1)).alias("customers"))
+    return counted.repartition(cores, F.xxhash64(*HISTORY))
 
 
 def ln_gamma(z: Column) -> Column:

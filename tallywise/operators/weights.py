@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.order_stats import Quantile, quantiles
@@ -47,37 +48,35 @@ def standardized_scores(scored: DataFrame) -> DataFrame:
 def fit_coefficients(target: DataFrame) -> DataFrame:
     """One row of coefficients of a class-balanced, L2-penalised logistic fit.
 
-    Persons enter as weighted score cells, so the iterations run over at most
-    250 rows whatever the number of persons. Zeros when one class is absent.
+    Persons enter as weighted score cells: 250 rows at most whatever the number
+    of persons, so they are fetched once and the iterations run over those.
+    Zeros when one class is absent.
     """
-    cells = score_cells(target)
-    per_class = cells.groupBy("high_value").agg(F.sum("persons").alias("class_persons"))
-    totals = {r["high_value"]: r["class_persons"] for r in per_class.collect()}
     spark = target.sparkSession
-    if len(totals) < 2:
+    cells = score_cells(target).collect()
+    persons = sum(c["persons"] for c in cells)
+    per_class = {
+        y: sum(c["persons"] for c in cells if c["high_value"] == y) for y in (0, 1)
+    }
+    if not all(per_class.values()):
         return spark.range(1).select(*[F.lit(0.0).alias(d) for d in DIMENSIONS])
 
-    persons = sum(totals.values())
-    means = cells.agg(*[
-        (F.sum(F.col(c) * F.col("persons")) / F.lit(persons)).alias(c) for c in SCORES
-    ]).first()
-    spreads = cells.agg(*[
-        F.sqrt(
-            F.sum(F.pow(F.col(c) - F.lit(means[c]), 2) * F.col("persons")) / F.lit(persons)
-        ).alias(c)
-        for c in SCORES
-    ]).first()
-    features = [
-        (F.col(c) - F.lit(means[c])) / F.lit(spreads[c] or 1.0) for c in SCORES
+    means = [sum(c[s] * c["persons"] for c in cells) / persons for s in SCORES]
+    spreads = [
+        math.sqrt(sum((c[s] - m) ** 2 * c["persons"] for c in cells) / persons) or 1.0
+        for s, m in zip(SCORES, means, strict=True)
     ]
-    balance = F.lit(persons / 2.0) / F.when(
-        F.col("high_value") == 1, F.lit(totals[1])
-    ).otherwise(F.lit(totals[0]))
-    frame = cells.select(
-        array_to_vector(F.array(*features)).alias("features"),
-        F.col("high_value").cast("double").alias("label"),
-        (F.col("persons") * balance).alias("weight"),
-    )
+    frame = spark.createDataFrame(
+        [
+            (
+                Vectors.dense([(c[s] - m) / d for s, m, d in zip(SCORES, means, spreads, strict=True)]),
+                float(c["high_value"]),
+                c["persons"] * persons / (2.0 * per_class[c["high_value"]]),
+            )
+            for c in cells
+        ],
+        ["features", "label", "weight"],
+    ).coalesce(1)
     model = LogisticRegression(
         weightCol="weight",
         regParam=1.0 / persons,

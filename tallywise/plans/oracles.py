@@ -852,6 +852,12 @@ _RAW: dict[str, str] = {
     "lifespan_stats": _lifespan_stats("inputs"),
     "clv_scores": "select * from scores",
     "clv_summary": _clv_summary(),
+    "formatted_clv_table": f"""
+        select rfm_segment, {_thousands('customers', 0)} as customers,
+               'R$' || {_thousands('median_clv', 2)} as median_clv,
+               'R$' || {_thousands('mean_clv', 2)} as mean_clv,
+               'R$' || {_thousands('total_clv', 2)} as total_clv,
+               {_thousands('clv_share_pct', 1)} || '%' as clv_share from ({_clv_summary()})""",
     "clv_sensitivity": "select * from sensitivity",
     "clv_sensitivity_pivot": "select rfm_segment, {} from sensitivity group by rfm_segment".format(
         ", ".join(

@@ -19,7 +19,7 @@ from ..operators import (
     weights,
 )
 from ..params import ILLUSTRATIVE_MODEL, TIGHT_BUDGET
-from ..sources.catalog import register_views, table_row_counts
+from ..sources.catalog import run_sql, table_row_counts
 from .engine import Engine, engine_for
 
 Query = Callable[[Engine], DataFrame]
@@ -47,15 +47,15 @@ def _scored(e: Engine, *columns: str) -> DataFrame:
 
 def _customer_base_sql(e: Engine) -> DataFrame:
     """The base table asked for in SQL over registered views."""
-    spark = e.stages.spark
-    register_views({"person_rollup": e.rollup()})
-    return spark.sql(f"""
-        select {', '.join(c for c in customers.BASE_COLUMNS if c != 'recency_days')},
+    columns = ", ".join(c for c in customers.BASE_COLUMNS if c != "recency_days")
+    text = f"""
+        select {columns},
                cast(timestampdiff(DAY, last_purchase_date, today) as int) as recency_days
         from person_rollup
         cross join (select max(last_purchase_date) as today from person_rollup)
         order by total_spend desc, customer_unique_id
-    """)
+    """
+    return run_sql(e.stages.spark, text, {"person_rollup": e.rollup()})
 
 
 def _monetary_score_ranked(e: Engine) -> DataFrame:
@@ -249,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "lifespan_stats": lambda e: lifetime.lifespan_stats(e.inputs()),
     "clv_scores": lambda e: e.scores(),
     "clv_summary": lambda e: lifetime.clv_summary(e.scores()),
+    "formatted_clv_table": lambda e: lifetime.formatted_clv_table(e.scores()),
     "clv_sensitivity": lambda e: e.sensitivity(),
     "clv_sensitivity_pivot": lambda e: lifetime.clv_sensitivity_pivot(e.sensitivity()),
     "quality_flags": lambda e: profile.quality_flags(e.scores()),

@@ -82,10 +82,16 @@ def read_parquet_tables(spark: SparkSession, raw_dir: str) -> dict[str, DataFram
     return {table: conform(spark.read.parquet(path), table) for table, path in paths.items()}
 
 
-def register_views(tables: Mapping[str, DataFrame], prefix: str = "") -> None:
+def register_views(tables: Mapping[str, DataFrame]) -> None:
     """Make each table reachable from ``spark.sql`` under its name."""
     for name, df in tables.items():
-        df.createOrReplaceTempView(prefix + name)
+        df.createOrReplaceTempView(name)
+
+
+def run_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Run an SQL text against ``tables``, registered under their names."""
+    register_views(tables)
+    return spark.sql(text)
 
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
