@@ -73,7 +73,7 @@ def main() -> None:
     drain(warm.roi())
 
     times: dict[str, float] = {}
-    stages = ("rollup", "rfm", "inputs", "targeted")
+    stages = ("rollup", "rfm", "inputs", "sensitivity", "targeted", "roi")
     engines = [new_engine() for _ in range(RUNS)]
     for stage in stages:
         times[f"stage_{stage}"] = statistics.median(

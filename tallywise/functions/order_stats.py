@@ -199,6 +199,7 @@ def rank_cuts(
     )
 
 
+# Without keys the few cuts meet the buckets of the one group there is.
 def _match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys)) if keys else left.crossJoin(right)
 

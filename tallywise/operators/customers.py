@@ -21,8 +21,11 @@ BASE_COLUMNS = (
 
 
 def days_between(earlier: str, later: str) -> F.Column:
-    """Whole elapsed days, part days cut off (not calendar-date differences)."""
-    return F.timestamp_diff("DAY", F.col(earlier), F.col(later)).cast("int")
+    """Whole elapsed days, part days cut off (not calendar-date differences).
+
+    The interval form needs no session time zone, unlike ``timestamp_diff``.
+    """
+    return F.extract(F.lit("DAY"), F.col(later) - F.col(earlier)).cast("int")
 
 
 def customer_rollup(orders: DataFrame) -> DataFrame:
@@ -61,9 +64,9 @@ def reference_date(rollup: DataFrame) -> DataFrame:
 
 
 def customer_base(rollup: DataFrame) -> DataFrame:
-    """Add recency relative to the reference date (a one-row broadcast)."""
+    """Add recency relative to the reference date, a scalar subquery."""
     return (
-        rollup.crossJoin(F.broadcast(reference_date(rollup)))
+        rollup.withColumn("reference_date", reference_date(rollup).scalar())
         .withColumn("recency_days", days_between("last_purchase_date", "reference_date"))
         .select(*BASE_COLUMNS)
     )

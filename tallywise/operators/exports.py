@@ -122,13 +122,10 @@ def geographic_summary(scores: DataFrame) -> DataFrame:
         _two("mean_clv"), _two("total_spend"), _two("median_orders"), _two("median_recency"),
         "top_seller_state", "local_seller_pct",
     )
-    whole = located.agg(exact_sum(F.col("clv_estimate"), 2).alias("whole_clv"))
-    share = round_even(per_cent(F.col("total_clv"), F.col("whole_clv")), 1)
-    return (
-        rounded.crossJoin(F.broadcast(whole))
-        .withColumn("clv_share_pct", share)
-        .drop("whole_clv")
-        .orderBy(F.desc("total_clv"), "customer_state")
+    whole = located.agg(exact_sum(F.col("clv_estimate"), 2)).scalar()
+    share = round_even(per_cent(F.col("total_clv"), whole), 1)
+    return rounded.withColumn("clv_share_pct", share).orderBy(
+        F.desc("total_clv"), "customer_state"
     )
 
 
@@ -246,8 +243,8 @@ def top3_state_share(scores: DataFrame) -> DataFrame:
     """Share of the three most valuable states in all value."""
     values = state_values(scores)
     top = _top_states(values, 3).agg(exact_sum(F.col("total_clv"), 2).alias("top3_clv"))
-    whole = scores.agg(exact_sum(F.col("clv_estimate"), 2).alias("portfolio_clv"))
-    return top.crossJoin(F.broadcast(whole)).withColumn(
+    whole = scores.agg(exact_sum(F.col("clv_estimate"), 2)).scalar()
+    return top.withColumn("portfolio_clv", whole).withColumn(
         "top3_share_pct", round_even(per_cent(F.col("top3_clv"), F.col("portfolio_clv")), 1)
     )
 

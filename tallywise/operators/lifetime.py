@@ -64,12 +64,10 @@ def segment_years(rfm: DataFrame) -> DataFrame:
     """
     tenure = F.median(F.when(repeat_buyer(), F.col("customer_tenure_days")))
     by_segment = rfm.groupBy("rfm_segment").agg(tenure.alias("own"))
-    overall = rfm.agg(tenure.alias("overall"))
-    known = F.coalesce(F.col("own"), F.col("overall")) / DAYS_PER_YEAR
+    known = F.coalesce(F.col("own"), rfm.agg(tenure).scalar()) / DAYS_PER_YEAR
     return (
         segment_dimension(rfm.sparkSession)
         .join(by_segment, "rfm_segment", "left")
-        .crossJoin(F.broadcast(overall))
         .select(
             "rfm_segment",
             F.coalesce(floor_at(known, MIN_EMPIRICAL_YEARS), F.lit(NO_REPEAT_YEARS)).alias(
@@ -183,14 +181,14 @@ def clv_summary(scores: DataFrame) -> DataFrame:
         exact_sum(value, 2).alias("total_clv"),
     )
     medians = quantiles(both, ["rfm_segment"], [Quantile("median_clv", "clv_estimate")])
-    whole = scores.agg(exact_sum(value, 2).alias("portfolio_clv"))
-    return per_segment(sums, medians, extra=(PORTFOLIO,)).crossJoin(F.broadcast(whole)).select(
+    whole = scores.agg(exact_sum(value, 2)).scalar()
+    return per_segment(sums, medians, extra=(PORTFOLIO,)).select(
         "rfm_segment",
         F.coalesce("customers", F.lit(0)).alias("customers"),
         round_even(F.col("median_clv"), 2).alias("median_clv"),
         round_even(F.col("mean_clv"), 2).alias("mean_clv"),
         round_even(F.col("total_clv"), 2).alias("total_clv"),
-        round_even(per_cent(F.col("total_clv"), F.col("portfolio_clv")), 1).alias("clv_share_pct"),
+        round_even(per_cent(F.col("total_clv"), whole), 1).alias("clv_share_pct"),
     )
 
 

@@ -107,17 +107,17 @@ def frequency_histogram(base: DataFrame, shown: int = HISTOGRAM_VALUES) -> DataF
     folded = placed.groupBy(F.least("place", F.lit(shown + 1)).alias("place")).agg(
         F.min("total_orders").alias("orders"), F.sum("customers").alias("customers")
     )
-    everyone = base.agg(F.count(F.lit(1)).alias("everyone"))
+    everyone = base.agg(F.count(F.lit(1))).scalar()
     number = F.col("orders").cast("string")
-    return folded.crossJoin(F.broadcast(everyone)).select(
+    return folded.select(
         F.when(F.col("place") > shown, F.concat(number, F.lit("+"))).otherwise(number).alias("orders"),
         "customers",
-        round_even(per_cent(F.col("customers"), F.col("everyone")), 1).alias("customer_pct"),
+        round_even(per_cent(F.col("customers"), everyone), 1).alias("customer_pct"),
     )
 
 
 def top_states_by_customers(base: DataFrame, count: int = 5) -> DataFrame:
-    everyone = base.agg(F.count(F.lit(1)).alias("everyone"))
+    everyone = base.agg(F.count(F.lit(1))).scalar()
     top = (
         base.filter(F.col("customer_state").isNotNull())
         .groupBy("customer_state")
@@ -125,10 +125,10 @@ def top_states_by_customers(base: DataFrame, count: int = 5) -> DataFrame:
         .orderBy(F.desc("customers"), "customer_state")
         .limit(count)
     )
-    return top.crossJoin(F.broadcast(everyone)).select(
+    return top.select(
         "customer_state",
         "customers",
-        round_even(per_cent(F.col("customers"), F.col("everyone")), 1).alias("customer_pct"),
+        round_even(per_cent(F.col("customers"), everyone), 1).alias("customer_pct"),
     )
 
 
@@ -148,8 +148,8 @@ def base_overview(base: DataFrame) -> DataFrame:
         round_even(per_cent(repeat, everyone), 1).alias("multi_pct"),
         F.median("recency_days").alias("median_recency"),
     )
-    spend = quantiles(base, [], [Quantile("median_spend", "total_spend")])
-    return counts.crossJoin(F.broadcast(spend)).withColumn("median_spend", _two(F.col("median_spend")))
+    spend = quantiles(base, [], [Quantile("median_spend", "total_spend")]).scalar()
+    return counts.withColumn("median_spend", _two(spend))
 
 
 def composite_stats(rfm: DataFrame) -> DataFrame:

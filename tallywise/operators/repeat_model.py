@@ -70,7 +70,8 @@ def log_likelihood(r: Column, alpha: Column, a: Column, b: Column) -> Column:
     alive = -(r + x) * F.log(alpha + period)
     gone = F.log(a) - F.log(b + F.greatest(x, F.lit(1.0)) - 1) - (r + x) * F.log(alpha + t_x)
     # ln(e^alive + e^gone) without leaving the range of doubles.
-    either = alive + F.when(x > 0, F.log1p(F.exp(gone - alive))).otherwise(0.0)
+    both = F.greatest(alive, gone) + F.log1p(F.exp(-F.abs(gone - alive)))
+    either = F.when(x > 0, both).otherwise(alive)
     return buying + dropping + either
 
 

@@ -22,7 +22,7 @@ from .customers import BASE_COLUMNS
 
 REQUIRED = ("customer_unique_id", "recency_days", "total_orders", "total_spend")
 SCORES = ("R_score", "F_score", "M_score")
-EDGE_PROBS = (0.2, 0.4, 0.6, 0.8)
+EDGE_PROBS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 
 def recency_score(days: Column) -> Column:
@@ -43,15 +43,9 @@ def frequency_score(orders: Column) -> Column:
 
 def spend_edges(base: DataFrame) -> DataFrame:
     """One row: persons, and the six edges of five equally filled spend bins."""
-    inner = quantiles(
-        base, [], [Quantile(f"edge_{i}", "total_spend", p) for i, p in enumerate(EDGE_PROBS, 1)]
-    )
-    outer = base.agg(
-        F.count("total_spend").alias("persons"),
-        F.min("total_spend").alias("edge_0"),
-        F.max("total_spend").alias("edge_5"),
-    )
-    return outer.crossJoin(F.broadcast(inner))
+    edges = [Quantile(f"edge_{i}", "total_spend", p) for i, p in enumerate(EDGE_PROBS)]
+    persons = base.agg(F.count("total_spend")).scalar()
+    return quantiles(base, [], edges).select(persons.alias("persons"), "*")
 
 
 def monetary_score(base: DataFrame) -> Callable[[Column, Column], Column]:

@@ -18,11 +18,10 @@ DIMENSIONS = ("R", "F", "M")
 
 
 def value_target(scored: DataFrame) -> DataFrame:
-    """Mark persons whose average order value lies above the median (one-row broadcast)."""
-    middle = quantiles(scored, [], [Quantile("median_order_value", "avg_order_value")])
-    return scored.crossJoin(F.broadcast(middle)).withColumn(
-        "high_value", F.coalesce(F.col("avg_order_value") > F.col("median_order_value"), F.lit(False)).cast("int")
-    )
+    """Mark persons whose average order value lies above the median."""
+    middle = quantiles(scored, [], [Quantile("median_order_value", "avg_order_value")]).scalar()
+    above = F.coalesce(F.col("avg_order_value") > middle, F.lit(False))
+    return scored.withColumn("high_value", above.cast("int"))
 
 
 def score_cells(target: DataFrame) -> DataFrame:
@@ -37,12 +36,12 @@ def standardized_scores(scored: DataFrame) -> DataFrame:
         for c in SCORES
         for f, name in ((F.avg, "mean"), (F.stddev_pop, "deviation"))
     ])
-    wide = scored.crossJoin(F.broadcast(moments))
+    wide = scored.withColumn("moments", moments.select(F.struct("*")).scalar())
     for c in SCORES:
-        deviation = F.col(f"{c}_deviation")
+        deviation = F.col(f"moments.{c}_deviation")
         scale = F.when(deviation > 0, deviation).otherwise(1.0)
-        wide = wide.withColumn(f"{c[0]}_std", (F.col(c) - F.col(f"{c}_mean")) / scale)
-    return wide.drop(*moments.columns)
+        wide = wide.withColumn(f"{c[0]}_std", (F.col(c) - F.col(f"moments.{c}_mean")) / scale)
+    return wide.drop("moments")
 
 
 def fit_coefficients(target: DataFrame) -> DataFrame:

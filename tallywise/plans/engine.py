@@ -20,8 +20,9 @@ class Engine:
     """Tables of one analysis over one set of inputs.
 
     Results that several later steps read are stage tables (see
-    ``sources.staging``): the person rollup, the segmented persons and the
-    value inputs. Everything else is a lazy plan on top of those.
+    ``sources.staging``): the person rollup, the segmented persons, the value
+    inputs, the margin scenarios, the targeted customers and the plan
+    comparison. Everything else is a lazy plan on top of those.
 
     ``score_weights``: weights per dimension, or None to derive them.
     ``lifespan``: "empirical"; "model" for the repeat-purchase model; "auto" for
@@ -102,7 +103,9 @@ class Engine:
         return lifetime.clv_scores(self.inputs())
 
     def sensitivity(self) -> DataFrame:
-        return lifetime.clv_sensitivity(self.inputs())
+        return self.stages.table(
+            "clv_sensitivity", lambda: lifetime.clv_sensitivity(self.inputs())
+        )
 
     # -- retention -------------------------------------------------------------
 
@@ -122,7 +125,10 @@ class Engine:
         return retention.proposed_state(self.reach(budget), self.targeted(budget))
 
     def roi(self, budget: float = RETENTION_BUDGET) -> DataFrame:
-        return retention.retention_roi(self.current(budget), self.proposed(budget))
+        return self.stages.table(
+            f"retention_roi_{budget:.0f}",
+            lambda: retention.retention_roi(self.current(budget), self.proposed(budget)),
+        )
 
     # -- published tables ------------------------------------------------------
 
