@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# Columns of the customer base in published order.
 BASE_COLUMNS = (
     "customer_unique_id",
     "customer_state",

@@ -10,6 +10,7 @@ from ..functions.order_stats import Quantile, quantiles
 from ..functions.values import exact_mean, exact_sum, per_cent, round_even, small_table
 from .segments import per_segment, with_sort_order
 
+# Columns of the customer detail in published order.
 DETAIL_COLUMNS = (
     "customer_unique_id", "customer_state", "rfm_segment",
     "R_score", "F_score", "M_score", "rfm_composite",

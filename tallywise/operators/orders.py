@@ -14,7 +14,9 @@ def filtered_orders(orders: DataFrame) -> DataFrame:
     delivered = (F.col("order_status") == "delivered") & F.col(
         "order_delivered_customer_date"
     ).isNotNull()
-    return orders.filter(delivered).drop("order_status")
+    return orders.filter(delivered).select(
+        "order_id", "customer_id", "order_purchase_timestamp", "order_delivered_customer_date"
+    )
 
 
 def identity_resolution(delivered: DataFrame, customers: DataFrame) -> DataFrame:

@@ -51,28 +51,37 @@ def distinct_histories(histories: DataFrame) -> DataFrame:
 def ln_gamma(z: Column) -> Column:
     """Log-gamma for z > 0: Stirling's series at z + 8, stepped back down."""
     w = z + F.lit(float(_SHIFT))
-    series = sum(
-        (F.lit(c) / F.pow(w, F.lit(float(2 * k + 1))) for k, c in enumerate(_STIRLING)), F.lit(0.0)
-    )
-    steps = F.lit(1.0)
-    for k in range(_SHIFT):
+    inverse = 1 / w
+    series = F.lit(_STIRLING[-1])
+    for c in reversed(_STIRLING[:-1]):
+        series = series * inverse * inverse + F.lit(c)
+    steps = z
+    for k in range(1, _SHIFT):
         steps = steps * (z + F.lit(float(k)))
     return (
-        (w - 0.5) * F.log(w) - w + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(steps)
+        (w - 0.5) * F.log(w) - w + F.lit(0.5 * math.log(2 * math.pi))
+        + series * inverse - F.log(steps)
     )
 
 
-def log_likelihood(r: Column, alpha: Column, a: Column, b: Column) -> Column:
-    """Log-likelihood of one history."""
+def log_likelihood() -> Column:
+    """Log-likelihood of one history at the parameters beside it.
+
+    ``constant`` holds the terms that depend on the parameters alone.
+    """
+    r, alpha, a, b, constant = (F.col(c) for c in (*PARAMETERS, "constant"))
     x, t_x, period = (F.col(c).cast("double") for c in HISTORY)
-    buying = ln_gamma(r + x) - ln_gamma(r) + r * F.log(alpha)
-    dropping = ln_gamma(a + b) + ln_gamma(b + x) - ln_gamma(b) - ln_gamma(a + b + x)
+    counts = ln_gamma(r + x) + ln_gamma(b + x) - ln_gamma(a + b + x)
     alive = -(r + x) * F.log(alpha + period)
-    gone = F.log(a) - F.log(b + F.greatest(x, F.lit(1.0)) - 1) - (r + x) * F.log(alpha + t_x)
+    gone = F.log(a / (b + F.greatest(x, F.lit(1.0)) - 1)) - (r + x) * F.log(alpha + t_x)
     # ln(e^alive + e^gone) without leaving the range of doubles.
     both = F.greatest(alive, gone) + F.log1p(F.exp(-F.abs(gone - alive)))
-    either = F.when(x > 0, both).otherwise(alive)
-    return buying + dropping + either
+    return constant + counts + F.when(x > 0, both).otherwise(alive)
+
+
+def _constant(cell: Mapping[str, float]) -> float:
+    r, alpha, a, b = (cell[p] for p in PARAMETERS)
+    return r * math.log(alpha) - math.lgamma(r) + math.lgamma(a + b) - math.lgamma(b)
 
 
 def grid_log_likelihood(
@@ -84,15 +93,14 @@ def grid_log_likelihood(
     shuffle, which carries one row per cell and task.
     """
     grid = "array({})".format(", ".join(
-        "struct({} as cell, {})".format(
-            i, ", ".join(f"{float(c[p])!r}D as {p}" for p in PARAMETERS)
+        "struct({} as cell, {}, {!r}D as constant)".format(
+            i, ", ".join(f"{float(c[p])!r}D as {p}" for p in PARAMETERS), _constant(c)
         )
         for i, c in enumerate(cells)
     ))
     spread = histories.select(*HISTORY, "customers", F.expr(f"inline({grid})"))
-    likelihood = log_likelihood(*[F.col(p) for p in PARAMETERS])
     return spread.groupBy("cell", *PARAMETERS).agg(
-        F.sum(F.col("customers") * likelihood).alias("log_likelihood"),
+        F.sum(F.col("customers") * log_likelihood()).alias("log_likelihood"),
         F.sum("customers").alias("customers"),
     )
 

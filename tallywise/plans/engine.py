@@ -163,7 +163,7 @@ _engines: dict[tuple, Engine] = {}
 
 def _fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
     """Changes when an input file does; lists files, reads no content."""
-    files = spark.read.format("binaryFile").load(paths)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     row = files.agg(
         F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))
     ).first()

@@ -209,14 +209,23 @@ STEPS["spends"] = "select list(total_spend order by total_spend) as xs from base
 STEPS["edges"] = "select len(xs) as persons, xs[1] as edge_0, {}, xs[len(xs)] as edge_5 from spends".format(
     ", ".join(f"{quantile_of('xs', p / 5)} as edge_{p}" for p in range(1, 5))
 )
+STEPS["ranked"] = f"""
+    select customer_unique_id, total_spend,
+           1 + (place > 1 + (n - 1) * 1 / 5)::int + (place > 1 + (n - 1) * 2 / 5)::int
+             + (place > 1 + (n - 1) * 3 / 5)::int + (place > 1 + (n - 1) * 4 / 5)::int as M_score
+    from (select customer_unique_id, total_spend, count(*) over ()::double as n,
+                 row_number() over (order by total_spend, {tie('customer_unique_id')}) as place
+          from base)"""
 STEPS["scored"] = """
     select b.*,
            case when recency_days <= 30 then 5 when recency_days <= 60 then 4
                 when recency_days <= 90 then 3 when recency_days <= 150 then 2 else 1 end as R_score,
            greatest(1, least(total_orders, 5))::int as F_score,
-           1 + (total_spend > edge_1)::int + (total_spend > edge_2)::int
-             + (total_spend > edge_3)::int + (total_spend > edge_4)::int as M_score
-    from base b cross join edges"""
+           case when edge_0 = edge_1 or edge_1 = edge_2 or edge_2 = edge_3 or edge_3 = edge_4
+                     or edge_4 = edge_5 then k.M_score
+                else 1 + (b.total_spend > edge_1)::int + (b.total_spend > edge_2)::int
+                  + (b.total_spend > edge_3)::int + (b.total_spend > edge_4)::int end as M_score
+    from base b join ranked k using (customer_unique_id) cross join edges"""
 STEPS["composed"] = """
     select *, (40 * R_score + 35 * F_score + 25 * M_score) / 100.0::double as rfm_composite
     from scored"""
@@ -665,15 +674,6 @@ def _clv_summary() -> str:
     return f"select * from ({each}) union all select * from ({whole})"
 
 
-def _ranked() -> str:
-    return f"""
-    select customer_unique_id, total_spend,
-           1 + (place > 1 + (n - 1) * 1 / 5)::int + (place > 1 + (n - 1) * 2 / 5)::int
-             + (place > 1 + (n - 1) * 3 / 5)::int + (place > 1 + (n - 1) * 4 / 5)::int as M_score
-    from (select customer_unique_id, total_spend, count(*) over ()::double as n,
-                 row_number() over (order by total_spend, {tie(PERSON)}) as place from base)"""
-
-
 def _box() -> str:
     return f"""
     select rfm_segment, coalesce(customers, 0) as customers, {rnd('whisker_low', 2)} as whisker_low,
@@ -808,7 +808,7 @@ _RAW: dict[str, str] = {
     "recency_score": "select customer_unique_id, recency_days, R_score from rfm",
     "frequency_score": "select customer_unique_id, total_orders, F_score from rfm",
     "monetary_score": "select customer_unique_id, total_spend, M_score from rfm",
-    "monetary_score_ranked": _ranked(),
+    "monetary_score_ranked": "select * from ranked",
     "spend_quintile_edges": "select persons, {} from edges".format(
         ", ".join(f"{rnd(f'edge_{i}', 4)} as edge_{i}" for i in range(6))
     ),

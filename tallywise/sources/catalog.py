@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .schemas import INPUT_SCHEMAS, TABLES
 
 # Free-text columns of these files may hold line breaks inside quotes.
-_MULTILINE = {"order_reviews"}
+MULTILINE_TABLES = ("order_reviews",)
 
 
 class MissingInput(ValueError):
@@ -59,19 +59,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 def read_csv_tables(
-    spark: SparkSession, raw_dir: str, files: Mapping[str, str] | None = None
+    spark: SparkSession,
+    raw_dir: str,
+    files: Mapping[str, str] | None = None,
+    multiline: Iterable[str] = MULTILINE_TABLES,
 ) -> dict[str, DataFrame]:
     """Scan the CSV inputs by header name.
 
     No schema inference: every column is read as text and only the declared
     ones are parsed and cast, so unknown extra columns are pruned by the parser.
+    A ``multiline`` file is read by one task; large tables come as folders of
+    many files, or without line breaks inside values.
     """
     paths = {t: f"{raw_dir.rstrip('/')}/{f}" for t, f in (files or default_files()).items()}
     require_files(spark, paths)
     tables = {}
     for table, path in paths.items():
         reader = spark.read.option("header", True).option("escape", '"')
-        tables[table] = conform(reader.csv(path, multiLine=table in _MULTILINE), table)
+        tables[table] = conform(reader.csv(path, multiLine=table in multiline), table)
     require_tables(tables)
     return tables
 

@@ -83,7 +83,7 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     plan = plan_of(orders.filtered_orders(spark.read.parquet(f"{tmp_path}/orders")))
     assert "EqualTo(order_status,delivered)" in plan
     assert "IsNotNull(order_delivered_customer_date)" in plan
-    assert "unused" not in plan.split("ReadSchema")[1]
+    assert "unused" not in plan
     scan = plan_of(orders.payments_by_order(tables["order_payments"]))
     assert "l_shipdate" not in scan and "l_extendedprice" in scan
 
