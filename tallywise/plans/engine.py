@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Mapping
 from functools import cached_property
 
@@ -145,7 +146,7 @@ class Engine:
         """Publish stage results as parquet and the dashboard tables as CSV."""
         folder = folder.rstrip("/")
         results = {
-            "customer_base": self.base(),
+            "customer_base": self.base().orderBy(F.desc("total_spend"), "customer_unique_id"),
             "rfm_segments": self.rfm(),
             "clv_scores": self.scores(),
             "clv_sensitivity": self.sensitivity(),
@@ -159,6 +160,7 @@ class Engine:
 
 
 _engines: dict[tuple, Engine] = {}
+_creating = threading.Lock()
 
 
 def _fingerprint(spark: SparkSession, paths: list[str]) -> tuple:
@@ -177,6 +179,7 @@ def engine_for(spark: SparkSession, sf_dir: str) -> Engine:
     """
     paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in BASE_TABLES]
     key = (spark.sparkContext.applicationId, sf_dir, _fingerprint(spark, paths))
-    if key not in _engines:
-        _engines[key] = Engine(load_tables(spark, sf_dir), Stages(spark))
-    return _engines[key]
+    with _creating:
+        if key not in _engines:
+            _engines[key] = Engine(load_tables(spark, sf_dir), Stages(spark))
+        return _engines[key]

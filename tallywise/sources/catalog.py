@@ -22,7 +22,7 @@ def default_files(suffix: str = ".csv", prefix: str = "") -> dict[str, str]:
     return {table: f"{prefix}{table}{suffix}" for table in TABLES}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("text").load(path)
     except AnalysisException:
@@ -32,7 +32,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def require_files(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Fail once, naming every path that cannot be found."""
-    missing = [path for path in paths.values() if not _exists(spark, path)]
+    missing = [path for path in paths.values() if not path_exists(spark, path)]
     if missing:
         raise MissingInput("missing input files: " + ", ".join(missing))
 

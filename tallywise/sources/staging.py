@@ -8,11 +8,14 @@ unlike a cache, is read column by column with known sizes.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .catalog import path_exists
+
 
 def stage_root(spark: SparkSession) -> str:
     """The shared folder of the session; a scratch folder in local mode only."""
@@ -36,12 +39,15 @@ class Stages:
         self.spark = spark
         self.path = f"{root or stage_root(spark)}/tallywise/{uuid.uuid4().hex}"
         self._written: dict[str, DataFrame] = {}
+        # A stage is built once, and building one may ask for another.
+        self._building = threading.RLock()
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Read stage ``name``, writing it first when this run has not yet."""
-        if name not in self._written:
-            df = build()
-            target = f"{self.path}/{name}"
-            df.write.mode("overwrite").parquet(target)
-            self._written[name] = self.spark.read.schema(df.schema).parquet(target)
-        return self._written[name]
+        """Read stage ``name``, writing it first when it is not there (any more)."""
+        target = f"{self.path}/{name}"
+        with self._building:
+            if name not in self._written or not path_exists(self.spark, target):
+                df = build()
+                df.write.mode("overwrite").parquet(target)
+                self._written[name] = self.spark.read.schema(df.schema).parquet(target)
+            return self._written[name]
