@@ -35,7 +35,10 @@ def customer_detail(scores: DataFrame) -> DataFrame:
 
 
 def segment_summary(scores: DataFrame) -> DataFrame:
-    """Export 2: fifteen aggregates per segment; shares use the rounded totals."""
+    """Export 2: fifteen aggregates per segment; shares use the rounded totals.
+
+    Segments are listed in order; one without customers is a row of nulls.
+    """
     few = {
         "median_recency": "recency_days",
         "median_orders": "total_orders",
@@ -70,13 +73,14 @@ def segment_summary(scores: DataFrame) -> DataFrame:
     all_segments = Window.partitionBy()
     customers = F.sum("customer_count").over(all_segments)
     value = F.sum(F.col("total_clv").cast("decimal(28,2)")).over(all_segments).cast("double")
-    return rounded.select(
+    present = F.col("customer_count").isNotNull()
+    return rounded.orderBy("segment_sort_order").select(
         "rfm_segment",
         "customer_count",
         *measures,
         round_even(per_cent(F.col("customer_count"), customers), 1).alias("customer_pct"),
         round_even(per_cent(F.col("total_clv"), value), 1).alias("clv_share_pct"),
-        "segment_sort_order",
+        F.when(present, F.col("segment_sort_order")).alias("segment_sort_order"),
     )
 
 

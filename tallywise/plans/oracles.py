@@ -474,7 +474,8 @@ STEPS["summary_rounded"] = """
     p75=rnd(quantile("clv_estimate", 0.75), 2),
 )
 STEPS["summary"] = f"""
-    select s.rfm_segment, r.* exclude (rfm_segment), segment_sort_order,
+    select s.rfm_segment, r.* exclude (rfm_segment),
+           case when customer_count is not null then segment_sort_order end as segment_sort_order,
            {pct('customer_count', 'sum(customer_count) over ()')} as customer_pct,
            {pct('total_clv', 'sum(total_clv::decimal(28,2)) over ()::double')} as clv_share_pct
     from segments s left join summary_rounded r using (rfm_segment)"""
