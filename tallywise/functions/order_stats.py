@@ -10,8 +10,8 @@ of persons neither holds. Both questions here are answered by narrowing instead:
 2. read again, keep only rows of those buckets, and sort their distinct values.
 
 Step 1 shuffles one row per task, group and bucket. Step 2 filters before it
-shuffles, against (wanted ranks x groups) rows. A bucket spans 1/256 of a
-doubling (0.27 %): for amounts around 100.00 it holds some 27 different cent
+shuffles, against (wanted ranks x groups) rows. A bucket spans 1/4096 of a
+doubling (0.017 %): for amounts around 100.00 it holds one or two different cent
 values however many rows there are. Rows are read twice, so callers pass stage
 tables or projections of them.
 """
@@ -165,8 +165,10 @@ def rank_cuts(
     ``(value, tie key) <= (cut_value, cut_tie)``.
     """
     keys = list(keys)
-    rows = df.select(*keys, value.alias("v"), F.col(identifier).alias("id")).withColumn(
-        "bucket", value_bucket(F.col("v"))
+    rows = (
+        df.select(*keys, value.alias("v"), F.col(identifier).alias("id"))
+        .filter("v is not null")
+        .withColumn("bucket", value_bucket(F.col("v")))
     )
     reached = "rank > before and rank <= before + n"
     buckets = _running(

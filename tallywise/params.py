@@ -114,7 +114,7 @@ INTERVENTIONS = (
 # ---------------------------------------------------------------------------
 
 # Histogram buckets per doubling of a value, see functions.order_stats.
-BUCKETS_PER_OCTAVE = 256
+BUCKETS_PER_OCTAVE = 4096
 
 # Terms of the hypergeometric series in the purchase forecast.
 SERIES_TERMS = 300
