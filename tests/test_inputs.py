@@ -3,9 +3,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tallywise.__main__ import main
 from tallywise.operators.customers import BASE_COLUMNS, customer_base, customer_rollup
 from tallywise.operators.orders import customer_orders, filtered_orders
-from tallywise.plans.engine import Engine
 from tallywise.sources.catalog import (
     MissingInput,
     read_csv_tables,
@@ -161,12 +161,11 @@ def test_parquet_inputs_equal_csv_inputs(spark, tables, tmp_path):
         assert sorted(map(str, again[name].collect())) == sorted(map(str, tables[name].collect()))
 
 
-def test_whole_run_from_csv_to_published_tables(spark, tables, stages, tmp_path):
-    engine = Engine(tables, stages, score_weights=None, lifespan="auto")
-    written = engine.write(str(tmp_path))
-    assert len(written) == 10
-    detail = spark.read.option("header", True).csv(written["01_customer_detail"])
+def test_whole_run_from_csv_to_published_tables(spark, raw_dir, tmp_path, capsys):
+    main([str(raw_dir), str(tmp_path), "--file", "sellers=sellers.csv"])
+    assert len(capsys.readouterr().out.splitlines()) == 10
+    detail = spark.read.option("header", True).csv(f"{tmp_path}/dashboard/01_customer_detail")
     assert detail.count() == 2 and len(detail.columns) == 21
-    roi = spark.read.parquet(written["retention_roi"])
+    roi = spark.read.parquet(f"{tmp_path}/retention_roi")
     assert roi.count() == 5
     assert roi.filter(F.col("median_clv").isNull()).count() == 0
