@@ -21,6 +21,7 @@ Empty input gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,9 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Words remembered by a task.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Bytes of text that are looked up at once.
+PORTION = 4 << 20
 
 _NUMBER = np.dtype("<u4")
 
@@ -49,25 +52,36 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokens:
-    """Bytes of the little-endian 32-bit ids of whole texts."""
+    """Little-endian 32-bit ids of whole texts, as bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
 
-    def ids(self, text: bytes) -> bytes:
-        parts = text.split()  # at ASCII white space
-        try:
-            return b"".join([self.known[p] for p in parts])
-        except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list({p for p in parts if p not in self.known})
-            for p, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, _NUMBER).tobytes()
-            return b"".join([self.known[p] for p in parts])
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        parts = [text.split() for text in texts]  # at ASCII white space
+        new = list(set().union(*parts).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(set().union(*parts))
+        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        self.known.update((p, np.array(e.ids, _NUMBER).tobytes()) for p, e in zip(new, encoded, strict=True))
+        known = self.known
+        return [b"".join([known[p] for p in own]) for own in parts]
+
+    def in_portions(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; some megabytes of text are looked up at once."""
+        at = 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= PORTION:
+                size += len(texts[end])
+                end += 1
+            yield from self.ids(texts[at:end])
+            at = end
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -81,9 +95,9 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
         width = capacity * _NUMBER.itemsize
         for batch in batches:
             rows: list[tuple] = []
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = tokens.ids(text or b"") + end
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.in_portions(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     n = len(part) // _NUMBER.itemsize
