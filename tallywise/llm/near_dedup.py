@@ -9,8 +9,8 @@
    pairs needs s - MATCHES + 1 postings to meet all its partners, if all take their
    rarest pairs first (prefix filter); one with s < MATCHES has no partner.
 3. Postings are merged with skips. In each round every posting list names a pivot,
-   and each member is compared with the pivot that most of its lists name, unless
-   both are already in one component. What is left are pairs across components: the
+   and each member is compared with the pivots that most of its lists name, unless
+   both are already in one component or their sizes are too far apart. What is left are pairs across components: the
    lists in one component are skipped, in the others each member outside the list's
    largest component meets the members of other components. Rounds of pivots are
    repeated while they still link and that rest is large. So a group of thousands of
@@ -21,7 +21,8 @@
    propagation with path shortcuts over tables in the shared folder.
 
 ``MATCHES`` of 15 in 40 coordinates misses a pair at the similarity limit with a
-probability of about 2e-7, and far less above it.
+probability of about 2e-7, and far less above it. Before the full sets of a pair are brought
+together, the sizes and the lowest 16 bits of all shingles rule out what cannot pass.
 
 Null or empty texts and texts without words have no set and are linked with nothing.
 Rows of a null id are returned as their own (``component_id`` null, kept). Rows that
@@ -34,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, pick
 from .textscan import LOWER, factors, mix, slices, word_hashes, words
@@ -44,7 +46,9 @@ SHINGLE = 5
 COORDINATES = 40
 MATCHES = 15
 #: Comparisons across components, per posting, that are made without another round of pivots.
-REST = 4
+REST = 16
+#: Pivots that a member is compared with in one round.
+PIVOTS = 4
 
 _WORD = factors(SHINGLE, 21)
 _XOR, _MULTIPLY = factors(COORDINATES, 22), factors(COORDINATES, 23)
@@ -109,12 +113,25 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _brief(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Per row the lowest 16 bits of its values, told apart by how often each occurred before.
+
+    Common elements of two rows are at most as many as the common numbers here.
+    """
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    key = np.sort((row << 16) | (values & np.uint64(0xFFFF)).astype(np.int64))
+    again = np.arange(len(key)) - np.searchsorted(key, key)
+    brief = ((key & 0xFFFF) | (again << 16)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(brief))
+
+
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in slices(batch.column(1)):
+            values, first = _distinct(*shingles(data, offsets))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), _lists(*_distinct(*shingles(data, offsets)))],
-                names=["node", "shingles"],
+                [batch.column(0).slice(i, j - i), _lists(values, first), _brief(values, first)],
+                names=["node", "shingles", "brief"],
             )
 
 
@@ -164,39 +181,57 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     classes = scratch.save(named.groupBy(*key).agg(F.min("doc_id").alias("node")), "classes")
     heads = named.join(
         classes.select(F.col("node").alias("doc_id"), *key), ["doc_id", *key], "left_semi"
-    ).select(F.col("doc_id").alias("node"), "pairs")
+    ).select(F.col("doc_id").alias("node"), "n_shingles", "pairs")
 
     # Shared coordinate-value pairs with their number of holders, rarest first.
-    posted = scratch.save(heads.select("node", F.explode("pairs").alias("pair")), "postings")
+    posted = scratch.save(heads.select("node", "n_shingles", F.explode("pairs").alias("pair")), "postings")
     held = posted.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
     partners = scratch.save(
         posted.join(held, "pair").groupBy("node")
-        .agg(F.sort_array(F.collect_set(F.struct("n", "pair"))).alias("by_rarity"))  # at most COORDINATES
+        .agg(
+            F.sort_array(F.collect_set(F.struct("n", "pair"))).alias("by_rarity"),  # at most COORDINATES
+            F.min("n_shingles").alias("least"), F.max("n_shingles").alias("size"),
+        )
         .where(F.size("by_rarity") >= MATCHES)
         .select(
-            "node", F.col("by_rarity.pair").alias("pairs"),
+            "node", "least", "size", F.col("by_rarity.pair").alias("pairs"),
             F.expr(f"slice(by_rarity.pair, 1, size(by_rarity) - {MATCHES} + 1)").alias("prefix"),
         ), "partners",
     )
     scratch.drop(posted)
-    lists = scratch.save(partners.select("node", F.explode("prefix").alias("pair")), "prefix")
+    lists = scratch.save(partners.select("node", "least", "size", F.explode("prefix").alias("pair")), "prefix")
     # Full sets of the representatives that have a partner to be compared with.
     sets = docs.join(partners.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>").dropDuplicates(["node"])
-    sets = scratch.save(sets.join(partners.select("node", "pairs"), "node"), "sets")
+    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>").dropDuplicates(["node"])
+    sets = scratch.save(sets, "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose signatures match and whose full sets are similar enough."""
-        left = sets.select(F.col("node").alias("a"), F.col("pairs").alias("pa"), F.col("shingles").alias("sa"))
-        right = sets.select(F.col("node").alias("b"), F.col("pairs").alias("pb"), F.col("shingles").alias("sb"))
+        signed_a = partners.select(F.col("node").alias("a"), F.col("pairs").alias("pa"))
+        signed_b = partners.select(F.col("node").alias("b"), F.col("pairs").alias("pb"))
+        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+        matching = (
+            pairs.join(signed_a, "a").join(signed_b, "b")
+            .where(F.expr(f"size(array_intersect(pa, pb)) >= {MATCHES}")).select("a", "b")
+        )
+        enough = f"100 * common >= {shingle_percent} * (size(sa) + size(sb) - common)"
+        common = F.expr("size(array_intersect(sa, sb))")
+        # First by a quarter of the bytes, which never counts too few; then in full.
+        brief_a = sets.select(F.col("node").alias("a"), F.col("brief").alias("sa"))
+        brief_b = sets.select(F.col("node").alias("b"), F.col("brief").alias("sb"))
+        likely = scratch.save(
+            matching.join(brief_a, "a").join(brief_b, "b").withColumn("common", common).where(enough).select("a", "b"),
+            "likely",
+        )
         return (
-            pairs.join(left, "a").join(right, "b")
-            .where(F.expr(f"size(array_intersect(pa, pb)) >= {MATCHES}"))
-            .withColumn("common", F.expr("size(array_intersect(sa, sb))"))
-            .where(F.expr(f"100 * common >= {shingle_percent} * (size(sa) + size(sb) - common)"))
-            .select("a", "b")
+            likely.join(left, "a").join(right, "b").withColumn("common", common).where(enough).select("a", "b")
         )
 
+    def may_match(least_a: str, size_a: str, least_b: str, size_b: str) -> Column:
+        """Sets whose sizes are too far apart cannot be similar enough."""
+        return F.expr(f"100 * {size_a} >= {shingle_percent} * {least_b} AND 100 * {size_b} >= {shingle_percent} * {least_a}")
+
     labels = partners.select("node", F.col("node").alias("comp"))
     postings = lists.count()
     linked = []
@@ -205,14 +240,14 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         turn += 1
         at = scratch.save(lists.join(labels, "node"), "round")
         pivots = at.groupBy("pair").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("p")
-        ).select("pair", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
+            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "least", "size")).alias("p")
+        )
+        most = Window.partitionBy("a").orderBy(F.desc("n"), "b")
         meets = (
-            at.join(pivots, "pair").where("comp <> pivot_comp")
-            .groupBy("node", "pivot").agg(F.count("*").alias("n"))
-            .groupBy(F.col("node").alias("a"))
-            .agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"), "pivot")).alias("m"))
-            .select("a", F.col("m.pivot").alias("b"))
+            at.join(pivots, "pair").where("comp <> p.comp").where(may_match("least", "size", "p.least", "p.size"))
+            .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("n"))
+            .withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= PIVOTS)  # of at most COORDINATES
+            .select("a", "b")
         )
         found = scratch.save(confirm(meets), "links")
         linked.append(found)
@@ -228,18 +263,20 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         now = scratch.save(lists.join(labels, "node"), "round")
         by_comp = now.groupBy("pair", "comp").agg(F.count("*").alias("n"))
         per_list = by_comp.groupBy("pair").agg(
-            F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most")
-        ).where("size > most.n").select("pair", "size", F.col("most.comp").alias("largest"), F.col("most.n").alias("n"))
-        rest = per_list.agg(F.sum(F.expr("(size - n) * size"))).first()[0] or 0
+            F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")
+        ).where("all > most.n").select("pair", "all", F.col("most.comp").alias("largest"), F.col("most.n").alias("n"))
+        rest = per_list.agg(F.sum(F.expr("(all - n) * all"))).first()[0] or 0
         scratch.drop(at)
         if rest > REST * postings and gained:
             scratch.drop(now)
             continue
         if rest:
             outside = now.join(per_list, "pair").where("comp <> largest").select(
-                "pair", F.col("node").alias("a"), F.col("comp").alias("a_comp"))
+                "pair", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
+                F.col("least").alias("a_least"), F.col("size").alias("a_size"))
             across = (
                 outside.join(now.withColumnRenamed("node", "b"), "pair").where("comp <> a_comp")
+                .where(may_match("a_least", "a_size", "least", "size"))
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             )
             linked.append(scratch.save(confirm(across), "links"))

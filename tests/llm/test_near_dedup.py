@@ -41,7 +41,7 @@ def test_same_components_as_all_pairs(docs):
     base = [rng.choices(vocabulary, k=rng.choice([8, 40, 120, 300])) for _ in range(30)]
     shared = rng.choices(vocabulary, k=60)
     rows = []
-    for _ in range(400):  # chains of copies around the limit, a large group of the first, a shared passage
+    for _ in range(200):  # chains of copies around the limit, a large group of the first, a shared passage
         words = rng.choice(base if rng.random() < 0.5 else base[:1])
         text = edited(rng, words, rng.randrange(0, 1 + len(words) // 25))
         rows.append((len(rows), text.upper() if rng.random() < 0.1 else text))
