@@ -86,7 +86,7 @@ def segment_summary(scores: DataFrame) -> DataFrame:
 
 def retention_comparison(roi: DataFrame) -> DataFrame:
     """Export 3: both retention plans and what moves between them."""
-    plans = with_sort_order(roi.drop("Unnamed: 0"))
+    plans = with_sort_order(roi)
 
     def shift(column: str) -> Column:
         return F.col(f"proposed_{column}") - F.col(f"current_{column}")

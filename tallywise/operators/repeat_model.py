@@ -14,7 +14,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..params import DAYS_PER_YEAR, HORIZON_YEARS, MODEL_PENALTY, SERIES_TERMS
+from ..params import DAYS_PER_YEAR, HORIZON_YEARS, MODEL_PENALTY
 from ..functions.values import exact_mean, round_even
 from ..functions.order_stats import Quantile, quantiles
 
@@ -201,13 +201,19 @@ def expected_purchases(params: Mapping[str, float], days: float = HORIZON_DAYS)
     """Orders expected in the next ``days``.
 
     The hypergeometric function of the paper is taken in its Euler-transformed
-    form, whose terms fall off quickly, with a fixed number of terms.
+    form. Its terms fall off like ``k ** power * z ** k``; each row takes as many
+    as leave a remainder below the precision of a double. The factor ``a - 1`` is
+    divided out term by term, so that a = 1 is an ordinary value.
     """
     r, alpha, a, b = (float(params[p]) for p in PARAMETERS)
     x, t_x, period = (F.col(c).cast("double") for c in HISTORY)
     z = F.lit(days) / (F.lit(alpha) + period + days)
     upper_1, upper_2 = a + b - 1 - r, a - 1
     lower = F.lit(a + b - 1) + x
+    power = F.greatest(F.lit(a - 2 - r) - x, F.lit(0.0))
+    rate = -F.log(z)
+    first = (F.lit(40.0) - F.log(1 - z)) / rate
+    terms = F.ceil(first + 2 * power * F.log1p(first + power / rate) / rate + abs(upper_1) + abs(upper_2)) + 1
 
     def add_term(state: Column, j: Column) -> Column:
         k = j.cast("double")
@@ -217,20 +223,22 @@ def expected_purchases(params: Mapping[str, float], days: float = HORIZON_DAYS)
         )
         return F.struct(term.alias("term"), (state["total"] + term).alias("total"))
 
+    start = F.lit(upper_1) / lower * z
     series = F.aggregate(
-        F.sequence(F.lit(0), F.lit(SERIES_TERMS - 1)),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+        F.sequence(F.lit(1).cast("long"), terms.cast("long")),
+        F.struct(start.alias("term"), start.alias("total")),
         add_term,
         lambda state: state["total"],
     )
-    growth = 1 - F.pow(1 - z, F.lit(a - 1)) * series
+    spread = -F.log(1 - z) if a == 1 else -F.expm1((a - 1) * F.log(1 - z)) / (a - 1)
+    growth = spread - F.pow(1 - z, F.lit(a - 1)) * series
     odds = F.when(
         x > 0,
         F.exp(
             (r + x) * F.log((alpha + period) / (alpha + t_x)) + F.log(a / (b + x - 1))
         ),
     ).otherwise(0.0)
-    return (lower / (a - 1)) * growth / (1 + odds)
+    return lower * growth / (1 + odds)
 
 
 def forecast_histories(histories: DataFrame, params: Mapping[str, float]) -> DataFrame:

@@ -116,9 +116,6 @@ INTERVENTIONS = (
 # Histogram buckets per doubling of a value, see functions.order_stats.
 BUCKETS_PER_OCTAVE = 4096
 
-# Terms of the hypergeometric series in the purchase forecast.
-SERIES_TERMS = 300
-
 # Smaller budget that leaves some customers of every large segment unreached.
 TIGHT_BUDGET = 18_000.0
 

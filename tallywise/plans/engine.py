@@ -118,7 +118,7 @@ class Engine:
 
     def targeted(self, budget: float = RETENTION_BUDGET) -> DataFrame:
         return self.stages.table(
-            f"targeted_{budget:.0f}",
+            f"targeted_{budget!r}",
             lambda: retention.targeted_customers(self.scores(), self.reach(budget)),
         )
 
@@ -127,7 +127,7 @@ class Engine:
 
     def roi(self, budget: float = RETENTION_BUDGET) -> DataFrame:
         return self.stages.table(
-            f"retention_roi_{budget:.0f}",
+            f"retention_roi_{budget!r}",
             lambda: retention.retention_roi(self.current(budget), self.proposed(budget)),
         )
 

@@ -16,7 +16,6 @@ from ..params import (
     SEGMENT_MIDPOINTS,
     SEGMENTS,
     SENSITIVITY_MARGINS,
-    SERIES_TERMS,
     TIGHT_BUDGET,
 )
 from ..sources.driver_tables import (
@@ -351,7 +350,7 @@ STEPS["series"] = """
            partial + term * ({a} + {b} - 1 - {r} + k) * ({a} - 1 + k)
              / (({a} + {b} - 1 + frequency + k) * (k + 1.0::double)) * z,
            z
-    from series where k < {terms}""".format(terms=SERIES_TERMS, **_P)
+    from series where abs(term) > 1e-19 * abs(partial)""".format(**_P)
 STEPS["forecasts"] = """
     select h.frequency, h.recency, h.T, h.customers, {alive} as prob_alive,
            ({a} + {b} - 1 + h.frequency) / ({a} - 1) * (1 - pow(1 - z, {a} - 1) * partial)
@@ -359,10 +358,10 @@ STEPS["forecasts"] = """
                 * pow(({alpha} + h.T) / ({alpha} + h.recency), {r} + h.frequency) else 0 end)
              as expected_purchases
     from history_groups h
-    join series s on s.frequency = h.frequency and s.recency = h.recency and s.T = h.T
-    where s.k = {terms}""".format(
+    join (select frequency, recency, T, max_by(partial, k) as partial, max(z) as z from series group by all) s
+      on s.frequency = h.frequency and s.recency = h.recency and s.T = h.T""".format(
     alive=ALIVE.replace("frequency", "h.frequency").replace("recency", "h.recency").replace(" T)", " h.T)"),
-    terms=SERIES_TERMS, **_P,
+    **_P,
 )
 
 # -- retention ---------------------------------------------------------------

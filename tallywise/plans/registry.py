@@ -178,7 +178,7 @@ def _dashboard_fields(e: Engine) -> DataFrame:
 
 def _targeted(budget: float | None = None) -> Query:
     def run(e: Engine) -> DataFrame:
-        rows = e.targeted(budget) if budget else e.targeted()
+        rows = e.targeted() if budget is None else e.targeted(budget)
         return rows.select(PERSON, "rfm_segment", "clv_estimate")
 
     return run
