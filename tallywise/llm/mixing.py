@@ -86,15 +86,15 @@ def mix(
 
     ``text``, ``source`` and ``doc_id`` are read. Columns with the added names are replaced.
     """
-    added = ("mix_tokens", "mix_pass", "mix_block", "mix_order", "_source")
+    added = ("mix_tokens", "mix_pass", "mix_block", "mix_order", "__mix_source", "__mix_taken", "__mix_row")
     scratch = Scratch(docs.sparkSession, "mix")
     base = docs.drop(*added).withColumn("mix_tokens", F.expr(tokens)).withColumn(
-        "_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+        "__mix_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     ).withColumn("mix_block", F.expr(f"CAST(pmod(xxhash64(doc_id, text), {BLOCKS}) AS INT)"))
     blocks = scratch.save(
-        base.groupBy("_source", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "blocks"
+        base.groupBy("__mix_source", "mix_block").agg(F.sum("mix_tokens").alias("tokens")), "blocks"
     )
-    sources = blocks.groupBy("_source").agg(F.sum("tokens").alias("tokens"))
+    sources = blocks.groupBy("__mix_source").agg(F.sum("tokens").alias("tokens"))
     total = sources.agg(F.sum("tokens")).first()[0]
     if not total:
         return base.select(
@@ -113,28 +113,28 @@ def mix(
     budget = float(budget_tokens) if budget_tokens is not None else sums.least * sums.z
     passes = F.greatest(weight * budget / sums.z / F.col("tokens"), F.lit(0.0))
     wanted = sources.select(
-        "_source", "tokens", F.when(F.abs(passes - F.round(passes)) < 1e-6, F.round(passes))
+        "__mix_source", "tokens", F.when(F.abs(passes - F.round(passes)) < 1e-6, F.round(passes))
         .otherwise(passes).alias("passes"),
     )
     # Passes of a block: all full ones, and the last one if the block comes early enough in it.
-    per_pass = blocks.withColumnRenamed("tokens", "own").join(wanted, "_source").withColumn(
+    per_pass = blocks.withColumnRenamed("tokens", "own").join(wanted, "__mix_source").withColumn(
         "mix_pass", F.explode(F.expr("sequence(0, CAST(greatest(ceil(passes), 1) AS INT) - 1)"))
-    ).withColumn("place", F.xxhash64("_source", "mix_block", "mix_pass", F.lit(SEED)))
-    order = Window.partitionBy("_source", "mix_pass").orderBy("place", "mix_block")
+    ).withColumn("place", F.xxhash64("__mix_source", "mix_block", "mix_pass", F.lit(SEED)))
+    order = Window.partitionBy("__mix_source", "mix_pass").orderBy("place", "mix_block")
     placed = per_pass.withColumn(
         "before", F.coalesce(F.sum("own").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     # A block of the last pass is taken if more than half of it lies within the budget.
     placed = scratch.save(
         placed.where("mix_pass + (before + own / 2.0D) / tokens <= passes")
-        .select("_source", "mix_block", "mix_pass",
+        .select("__mix_source", "mix_block", "mix_pass",
                 F.expr("(mix_pass + before / tokens) / passes").alias("mix_order")), "plan",
     )
-    taken = placed.groupBy("_source", "mix_block").agg(
-        F.sort_array(F.collect_list(F.struct("mix_pass", "mix_order"))).alias("taken")
+    taken = placed.groupBy("__mix_source", "mix_block").agg(
+        F.sort_array(F.collect_list(F.struct("mix_pass", "mix_order"))).alias("__mix_taken")
     )
     return (
-        base.join(taken.hint("shuffle_hash"), ["_source", "mix_block"])
-        .select(*docs.drop(*added).columns, "mix_tokens", "mix_block", F.explode("taken").alias("t"))
-        .select("*", "t.mix_pass", "t.mix_order").drop("t")
+        base.join(taken.hint("shuffle_hash"), ["__mix_source", "mix_block"])
+        .select(*docs.drop(*added).columns, "mix_tokens", "mix_block", F.explode("__mix_taken").alias("__mix_row"))
+        .select("*", "__mix_row.mix_pass", "__mix_row.mix_order").drop("__mix_row")
     )
