@@ -8,9 +8,10 @@
    they collide in at least ``MATCHES`` coordinates. A representative with s shared
    pairs needs s - MATCHES + 1 postings to meet all its partners, if all take their
    rarest pairs first (prefix filter); one with s < MATCHES has no partner.
-3. Postings are merged with skips. In each round every posting list names a pivot,
-   and each member is compared with the pivots that most of its lists name, unless
-   both are already in one component or their sizes are too far apart. What is left are pairs across components: the
+3. Postings are merged with skips. In each round every posting list names ``LEADERS``
+   pivots, and each member is compared with the pivots that most of its lists name, unless
+   both are already known to be connected or their sizes are too far apart. Between rounds
+   labels move over two links only; components are followed to the end once, after the last. What is left are pairs across components: the
    lists in one component are skipped, in the others each member outside the list's
    largest component meets the members of other components. Rounds of pivots are
    repeated while they still link and that rest is large. So a group of thousands of
@@ -47,8 +48,9 @@ COORDINATES = 40
 MATCHES = 15
 #: Comparisons across components, per posting, that are made without another round of pivots.
 REST = 16
-#: Pivots that a member is compared with in one round.
-PIVOTS = 4
+#: Pivots that a list names in one round, and pivots that a member is compared with.
+LEADERS = 4
+PIVOTS = 8
 
 _WORD = factors(SHINGLE, 21)
 _XOR, _MULTIPLY = factors(COORDINATES, 22), factors(COORDINATES, 23)
@@ -232,43 +234,62 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         """Sets whose sizes are too far apart cannot be similar enough."""
         return F.expr(f"100 * {size_a} >= {shingle_percent} * {least_b} AND 100 * {size_b} >= {shingle_percent} * {least_a}")
 
+    def united(links: list[DataFrame]) -> DataFrame:
+        known = links[0]
+        for more in links[1:]:
+            known = known.unionAll(more)
+        return known
+
+    def between(known: DataFrame, labels: DataFrame) -> DataFrame:
+        """The links as links of different labels."""
+        a, b = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+        return known.join(a, "a").join(b, "b").where("ca <> cb").select("ca", "cb").distinct()
+
+    def relabel(known: DataFrame, labels: DataFrame) -> DataFrame:
+        """Smallest labels within two links. Nodes of one label are connected; the reverse need not hold yet."""
+        one_way = between(known, labels)
+        both = scratch.save(one_way.unionAll(one_way.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))), "hops")
+        near = both.groupBy("ca").agg(F.least(F.min("cb"), F.col("ca")).alias("low")).toDF("cb", "low")
+        lower = both.join(near, "cb").groupBy(F.col("ca").alias("comp")).agg(F.min("low").alias("low"))
+        return scratch.save(
+            labels.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
+
     labels = partners.select("node", F.col("node").alias("comp"))
+    at = lists.withColumn("comp", F.col("node"))
     postings = lists.count()
     linked = []
     turn = 0
     while postings:
         turn += 1
-        at = scratch.save(lists.join(labels, "node"), "round")
-        pivots = at.groupBy("pair").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "least", "size")).alias("p")
-        )
+        leaders = at.groupBy("pair").agg(*(
+            F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), "node", "comp", "least", "size"))
+            .alias(f"p{k}") for k in range(LEADERS)
+        ))
+        pivots = leaders.select("pair", F.explode(F.array_distinct(F.array(*(
+            F.expr(f"struct(p{k}.node, p{k}.comp, p{k}.least, p{k}.size)") for k in range(LEADERS)
+        )))).alias("p"))
         most = Window.partitionBy("a").orderBy(F.desc("n"), "b")
         meets = (
             at.join(pivots, "pair").where("comp <> p.comp").where(may_match("least", "size", "p.least", "p.size"))
             .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("n"))
-            .withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= PIVOTS)  # of at most COORDINATES
+            .withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= PIVOTS)  # of COORDINATES * LEADERS
             .select("a", "b")
         )
         found = scratch.save(confirm(meets), "links")
         linked.append(found)
         gained = found.limit(1).count()
+        now = at
         if gained:
-            known = linked[0]
-            for more in linked[1:]:
-                known = known.unionAll(more)
-            merged = components(scratch, known)
-            labels = partners.select("node").join(merged, "node", "left").select(
-                "node", F.coalesce("comp", "node").alias("comp"))
+            labels = relabel(united(linked), labels)
+            now = scratch.save(lists.join(labels, "node"), "round")
         # What is left: members outside the largest component of their list.
-        now = scratch.save(lists.join(labels, "node"), "round")
         by_comp = now.groupBy("pair", "comp").agg(F.count("*").alias("n"))
         per_list = by_comp.groupBy("pair").agg(
             F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("most")
         ).where("all > most.n").select("pair", "all", F.col("most.comp").alias("largest"), F.col("most.n").alias("n"))
         rest = per_list.agg(F.sum(F.expr("(all - n) * all"))).first()[0] or 0
-        scratch.drop(at)
+        at = now
         if rest > REST * postings and gained:
-            scratch.drop(now)
             continue
         if rest:
             outside = now.join(per_list, "pair").where("comp <> largest").select(
@@ -284,11 +305,10 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
 
     result = classes
     if linked:
-        known = linked[0]
-        for more in linked[1:]:
-            known = known.unionAll(more)
-        merged = components(scratch, known)
-        result = classes.join(merged, "node", "left")
+        # Labels stand for their nodes, so few links are left to follow.
+        merged = components(scratch, between(united(linked), labels).toDF("a", "b")).toDF("comp", "least")
+        final = labels.join(merged, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+        result = classes.join(final, "node", "left")
     else:
         result = classes.withColumn("comp", F.lit(None).cast("long"))
     result = result.select(*key, F.coalesce("comp", "node").alias("component"))
