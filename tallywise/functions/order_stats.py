@@ -28,9 +28,6 @@ from ..params import BUCKETS_PER_OCTAVE
 # Doubles range over exponents -1074..1023; this keeps bucket numbers positive.
 _OFFSET = 1075 * BUCKETS_PER_OCTAVE + 1
 
-# Groups whose narrowed side may be broadcast: some hundred bytes each.
-_BROADCAST_GROUPS = 10_000
-
 # Hex digits of the tie key that ties are bucketed by: 65,536 even buckets.
 _TIE_PREFIX = 4
 
@@ -64,11 +61,6 @@ def _running(counts: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return counts.withColumn("before", F.sum("n").over(upto) - F.col("n"))
 
 
-def _few_groups(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Count groups up to a limit; a job over the key columns only."""
-    return df.select(*keys).distinct().limit(_BROADCAST_GROUPS + 1).count() <= _BROADCAST_GROUPS
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,8 +71,8 @@ def quantiles(
 
     All columns share the passes. Groups with a null key are left out. The
     narrowed side has two rows per group and probability. It is broadcast when
-    the number of groups is fixed (``fixed_groups``: segments, or no keys) or
-    was counted and is small; with more groups it is a shuffle join.
+    the number of groups is fixed (``fixed_groups``: segments, or no keys);
+    else it carries no hint and Spark decides from its size.
     """
     keys = list(keys)
     sources = list(dict.fromkeys(q.source for q in wanted))
@@ -114,10 +106,9 @@ def quantiles(
         )
     )
 
-    few = fixed_groups or _few_groups(df, keys)
     wish = [*group, "bucket", "p", "frac", "rank"]
     held = (
-        rows.join(F.broadcast(picks) if few else picks, [*group, "bucket"])
+        rows.join(F.broadcast(picks) if fixed_groups else picks, [*group, "bucket"])
         .groupBy(*wish, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -105,3 +105,14 @@ def test_cut_splits_a_group_of_equal_values(spark):
     )
     expected = sorted(range(500), key=tie)[:123]
     assert sorted(r["id"] for r in inside.collect()) == sorted(expected)
+
+
+def test_quantiles_of_many_groups(spark):
+    rows = spark.range(60_000).select(
+        (F.col("id") % 12_000).alias("g"), (F.xxhash64("id") % 1000).cast("double").alias("v")
+    )
+    got = quantiles(rows, ["g"], [Quantile("q", "v", 0.25)], fixed_groups=False)
+    want = rows.groupBy("g").agg(F.percentile("v", 0.25).alias("w"))
+    both = got.join(want, "g")
+    assert both.count() == 12_000
+    assert both.where("abs(q - w) > 1e-9").count() == 0
