@@ -1,8 +1,11 @@
 """Near-duplicates by MinHash with a signature-coordinate inverted join.
 
 1. Every whole text becomes the set of its distinct 5-word shingles (64-bit hashes)
-   and ``COORDINATES`` minimum hashes. Documents of equal sets form one class, which
-   its smallest id represents; only representatives go on.
+   and ``COORDINATES`` signature coordinates, each of them ``MINIMA`` minimum hashes
+   taken together. Documents that merely share a line or a passage seldom agree in
+   several minima at once, so frequent passages make no long posting lists.
+   Documents of equal sets form one class, which its smallest id represents; only
+   representatives go on.
 2. A representative is posted under each (coordinate, value) pair; pairs held by
    one representative only cannot collide and are dropped. Two signatures match if
    they collide in at least ``MATCHES`` coordinates. A representative with s shared
@@ -21,8 +24,8 @@
    ``100 * intersection >= 75 * union``. Components get their smallest id by label
    propagation with path shortcuts over tables in the shared folder.
 
-``MATCHES`` of 15 in 40 coordinates misses a pair at the similarity limit with a
-probability of about 2e-7, and far less above it. Before the full sets of a pair are brought
+``MATCHES`` of 3 in 40 coordinates of 3 minima misses a pair at the similarity limit
+with a probability of about 1.4e-7, and far less above it. Before the full sets of a pair are brought
 together, the sizes and the lowest 16 bits of all shingles rule out what cannot pass.
 
 Null or empty texts and texts without words have no set and are linked with nothing.
@@ -45,7 +48,9 @@ from .textscan import LOWER, factors, mix, slices, word_hashes, words
 
 SHINGLE = 5
 COORDINATES = 40
-MATCHES = 15
+#: Minimum hashes that make one coordinate.
+MINIMA = 3
+MATCHES = 3
 #: Comparisons across components, per posting, that are made without another round of pivots.
 REST = 16
 #: Pivots that a list names in one round, and pivots that a member is compared with.
@@ -53,7 +58,8 @@ LEADERS = 4
 PIVOTS = 8
 
 _WORD = factors(SHINGLE, 21)
-_XOR, _MULTIPLY = factors(COORDINATES, 22), factors(COORDINATES, 23)
+_XOR, _MULTIPLY = factors(COORDINATES * MINIMA, 22), factors(COORDINATES * MINIMA, 23)
+_TOGETHER = factors(MINIMA, 25)
 _CHECKS = factors(2, 24)
 
 
@@ -105,8 +111,11 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for c, f in zip(checks, _CHECKS, strict=True):
                     c[some] = np.add.reduceat(mix(values * f), first[some]).view(np.int64)
                 for k in range(COORDINATES):
-                    least = np.minimum.reduceat((values ^ _XOR[k]) * _MULTIPLY[k], first[some])
-                    pairs[:, k] = (least & ~np.uint64(63)) | np.uint64(k)
+                    value = np.zeros(len(some), np.uint64)
+                    for m in range(MINIMA):
+                        h = (values ^ _XOR[k * MINIMA + m]) * _MULTIPLY[k * MINIMA + m]
+                        value += np.minimum.reduceat(h, first[some]) * _TOGETHER[m]
+                    pairs[:, k] = (mix(value) & ~np.uint64(63)) | np.uint64(k)
             ends = np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(i, j - i), pa.array(n), *(pa.array(c) for c in checks),
