@@ -11,16 +11,19 @@
    they collide in at least ``MATCHES`` coordinates. A representative with s shared
    pairs needs s - MATCHES + 1 postings to meet all its partners, if all take their
    rarest pairs first (prefix filter); one with s < MATCHES has no partner.
-3. Postings are merged with skips. In each round every posting list names ``LEADERS``
+3. Of each such representative the shingles that another one has too are counted: no
+   intersection is larger, which skips documents and pairs whose sets cannot be
+   similar enough, exactly.
+4. Postings are merged with skips. In each round every posting list names ``LEADERS``
    pivots, and each member is compared with the pivots that most of its lists name, unless
    both are already known to be connected or their sizes are too far apart. Between rounds
    labels move over two links only; components are followed to the end once, after the last. What is left are pairs across components: the
    lists in one component are skipped, in the others each member outside the list's
    largest component meets the members of other components. Rounds of pivots are
-   repeated while they still link and that rest is large. So a group of thousands of
+   repeated while that rest is large and shrinks. So a group of thousands of
    near copies costs a few comparisons per member, and yet every matching pair is
    either compared or inside one component.
-4. A compared pair is linked if its signatures match and its full shingle sets pass
+5. A compared pair is linked if its signatures match and its full shingle sets pass
    ``100 * intersection >= 75 * union``. Components get their smallest id by label
    propagation with path shortcuts over tables in the shared folder.
 
@@ -210,20 +213,34 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         ), "partners",
     )
     scratch.drop(posted)
-    lists = scratch.save(partners.select("node", "least", "size", F.explode("prefix").alias("pair")), "prefix")
     # Full sets of the representatives that have a partner to be compared with.
     sets = docs.join(partners.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>").dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
+    # A set cannot have more in common with another than the shingles that some other set holds.
+    alone = (
+        sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    )
+    lists = scratch.save(
+        partners.join(alone, "node", "left").withColumn("most", F.expr("size - coalesce(alone, 0)"))
+        .where(f"100 * most >= {shingle_percent} * least")
+        .select("node", "least", "most", F.explode("prefix").alias("pair")), "prefix",
+    )
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures match and whose full sets are similar enough."""
+        """The pairs (a, b) whose signatures match and whose full sets are similar enough.
+
+        ``n`` collisions of a pair are counted already, outside the prefixes there may be more.
+        """
         signed_a = partners.select(F.col("node").alias("a"), F.col("pairs").alias("pa"))
         signed_b = partners.select(F.col("node").alias("b"), F.col("pairs").alias("pb"))
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        matching = (
-            pairs.join(signed_a, "a").join(signed_b, "b")
+        pairs = scratch.save(pairs.select("a", "b", "n"), "compared")
+        matching = pairs.where(F.col("n") >= MATCHES).select("a", "b").unionAll(
+            pairs.where(F.col("n") < MATCHES).join(signed_a, "a").join(signed_b, "b")
             .where(F.expr(f"size(array_intersect(pa, pb)) >= {MATCHES}")).select("a", "b")
         )
         enough = f"100 * common >= {shingle_percent} * (size(sa) + size(sb) - common)"
@@ -239,9 +256,10 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             likely.join(left, "a").join(right, "b").withColumn("common", common).where(enough).select("a", "b")
         )
 
-    def may_match(least_a: str, size_a: str, least_b: str, size_b: str) -> Column:
-        """Sets whose sizes are too far apart cannot be similar enough."""
-        return F.expr(f"100 * {size_a} >= {shingle_percent} * {least_b} AND 100 * {size_b} >= {shingle_percent} * {least_a}")
+    def may_match(least_a: str, most_a: str, least_b: str, most_b: str) -> Column:
+        """Sets of these sizes with at most so many elements in common with others can be similar enough."""
+        common = f"least({most_a}, {most_b})"
+        return F.expr(f"100 * {common} >= {shingle_percent} * ({least_a} + {least_b} - {common})")
 
     def united(links: list[DataFrame]) -> DataFrame:
         known = links[0]
@@ -263,26 +281,25 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         return scratch.save(
             labels.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
 
-    labels = partners.select("node", F.col("node").alias("comp"))
+    labels = scratch.save(lists.select("node", F.col("node").alias("comp")).distinct(), "labels")
     at = lists.withColumn("comp", F.col("node"))
     postings = lists.count()
     linked = []
-    turn = 0
+    turn, last = 0, None
     while postings:
         turn += 1
         leaders = at.groupBy("pair").agg(*(
-            F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), "node", "comp", "least", "size"))
+            F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), "node", "comp", "least", "most"))
             .alias(f"p{k}") for k in range(LEADERS)
         ))
         pivots = leaders.select("pair", F.explode(F.array_distinct(F.array(*(
-            F.expr(f"struct(p{k}.node, p{k}.comp, p{k}.least, p{k}.size)") for k in range(LEADERS)
+            F.expr(f"struct(p{k}.node, p{k}.comp, p{k}.least, p{k}.most)") for k in range(LEADERS)
         )))).alias("p"))
         most = Window.partitionBy("a").orderBy(F.desc("n"), "b")
         meets = (
-            at.join(pivots, "pair").where("comp <> p.comp").where(may_match("least", "size", "p.least", "p.size"))
+            at.join(pivots, "pair").where("comp <> p.comp").where(may_match("least", "most", "p.least", "p.most"))
             .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("n"))
             .withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= PIVOTS)  # of COORDINATES * LEADERS
-            .select("a", "b")
         )
         found = scratch.save(confirm(meets), "links")
         linked.append(found)
@@ -298,16 +315,18 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         ).where("all > most.n").select("pair", "all", F.col("most.comp").alias("largest"), F.col("most.n").alias("n"))
         rest = per_list.agg(F.sum(F.expr("(all - n) * all"))).first()[0] or 0
         at = now
-        if rest > REST * postings and gained:
+        if rest > REST * postings and gained and (last is None or 4 * rest < 3 * last):
+            last = rest
             continue
         if rest:
             outside = now.join(per_list, "pair").where("comp <> largest").select(
-                "pair", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
-                F.col("least").alias("a_least"), F.col("size").alias("a_size"))
+                "pair", "largest", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
+                F.col("least").alias("a_least"), F.col("most").alias("a_most"))
             across = (
                 outside.join(now.withColumnRenamed("node", "b"), "pair").where("comp <> a_comp")
-                .where(may_match("a_least", "a_size", "least", "size"))
-                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                .where("comp = largest OR a < b")  # of two outside, once
+                .where(may_match("a_least", "a_most", "least", "most"))
+                .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
             )
             linked.append(scratch.save(confirm(across), "links"))
         break
