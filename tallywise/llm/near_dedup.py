@@ -13,7 +13,8 @@
    rarest pairs first (prefix filter); one with s < MATCHES has no partner.
 3. Of each such representative the shingles that another one has too are counted: no
    intersection is larger, which skips documents and pairs whose sets cannot be
-   similar enough, exactly.
+   similar enough, exactly. The last step counts them in ``PARTS`` parts of the hash
+   range: two sets have no more in common than the sum of the lesser counts.
 4. Postings are merged with skips. In each round every posting list names ``LEADERS``
    pivots, and each member is compared with the pivots that most of its lists name, unless
    both are already known to be connected or their sizes are too far apart. Between rounds
@@ -56,6 +57,8 @@ MINIMA = 3
 MATCHES = 3
 #: Comparisons across components, per posting, that are made without another round of pivots.
 REST = 16
+#: Parts of the hash range in which shingles that others share are counted.
+PARTS = 32
 #: Pivots that a list names in one round, and pivots that a member is compared with.
 LEADERS = 4
 PIVOTS = 8
@@ -143,9 +146,12 @@ def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in slices(batch.column(1)):
             values, first = _distinct(*shingles(data, offsets))
+            part = (values.view(np.int64) & (PARTS - 1)) + PARTS * np.repeat(np.arange(j - i), np.diff(first))
+            counts = np.bincount(part, minlength=PARTS * (j - i)).astype(np.int32)
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * PARTS, pa.int32()), pa.array(counts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), _lists(values, first), _brief(values, first)],
-                names=["node", "shingles", "brief"],
+                [batch.column(0).slice(i, j - i), _lists(values, first), _brief(values, first), parts],
+                names=["node", "shingles", "brief", "parts"],
             )
 
 
@@ -215,14 +221,19 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     scratch.drop(posted)
     # Full sets of the representatives that have a partner to be compared with.
     sets = docs.join(partners.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>").dropDuplicates(["node"])
+    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>, parts array<int>").dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
     # A set cannot have more in common with another than the shingles that some other set holds.
     alone = (
         sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle")
         .agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-        .groupBy("node").agg(F.count("*").alias("alone"))
+        .groupBy("node", F.expr(f"CAST(shingle & {PARTS - 1} AS INT)").alias("part")).agg(F.count("*").alias("n"))
+        .groupBy("node").agg(  # at most PARTS entries
+            F.sum("n").alias("alone"), F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("by_part"))
     )
+    alone = scratch.save(alone, "alone")
+    shared = sets.select("node", "parts").join(alone, "node", "left").select(
+        "node", F.expr("transform(parts, (n, i) -> n - coalesce(by_part[i], 0))").alias("parts"))
     lists = scratch.save(
         partners.join(alone, "node", "left").withColumn("most", F.expr("size - coalesce(alone, 0)"))
         .where(f"100 * most >= {shingle_percent} * least")
@@ -319,13 +330,16 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             last = rest
             continue
         if rest:
+            now = now.join(shared, "node")
             outside = now.join(per_list, "pair").where("comp <> largest").select(
                 "pair", "largest", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
-                F.col("least").alias("a_least"), F.col("most").alias("a_most"))
+                F.col("least").alias("a_least"), F.col("most").alias("a_most"), F.col("parts").alias("a_parts"))
+            common = "aggregate(zip_with(a_parts, parts, (x, y) -> least(x, y)), 0L, (x, y) -> x + y)"
             across = (
                 outside.join(now.withColumnRenamed("node", "b"), "pair").where("comp <> a_comp")
                 .where("comp = largest OR a < b")  # of two outside, once
                 .where(may_match("a_least", "a_most", "least", "most"))
+                .where(f"100 * {common} >= {shingle_percent} * (a_least + least - {common})")
                 .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
             )
             linked.append(scratch.save(confirm(across), "links"))
