@@ -28,10 +28,10 @@ class Scratch:
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._count = 0
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", **options: str) -> DataFrame:
         self._count += 1
         path = f"{self.root}/{self._count:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -9,11 +9,16 @@ the held-out data, and the maximum-likelihood estimates come from the other fold
 Scoring then uses the counts of all training documents with these weights.
 
 Counts cover all training documents and grow with them. They are made by numpy on
-packed arrays, moved and partitioned by Spark: a block (some thousand rows of a file split) sends
+packed arrays, moved and partitioned by Spark: a block (some thousand rows) sends
 its distinct n-gram hashes with their counts to ``parts`` shares of the hash range; each
 share adds them up and answers every block with the totals in the order asked. So every
 distinct n-gram of a block crosses the network once each way, a frequent one is no more than
-one entry per block, and no task holds more than a share or a block. Expectation-
+one entry per block, and no task holds more than a share or a block.
+
+The texts are written once, with a number per row and block. How later jobs split that table
+may change from job to job with the cores at hand, so a block can be read in several pieces:
+each piece asks for itself under the number of its first row, and the answers are met again
+by these saved numbers. Answers that are not for the very hashes of a piece stop the job. Expectation-
 maximisation needs a histogram only: the weights depend on the ratio of the two
 estimates to the uniform one, which are kept per bucket in bins of a quarter of a power of two.
 
@@ -31,7 +36,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,25 +98,25 @@ class Block:
         self.pair, self.pair_at = np.unique(pair, return_inverse=True)
 
 
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[pa.Array], np.ndarray]]:
-    """(block, texts, folds) of batches with ``block, doc_id, text, fold`` in order of the blocks."""
-    name, columns, folds = None, [], []
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.Array], np.ndarray]]:
+    """(block, first row, texts, folds) of rows of one block that follow each other, from ``row, block, doc_id, text, fold``."""
+    block = piece = last = None
+    columns, folds = [], []
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        at = 0
-        while at < len(names):
-            end = at + 1
-            while end < len(names) and names[end] == names[at]:
-                end += 1
-            if names[at] != name:
+        row, name = (batch.column(i).to_numpy() for i in (0, 1))
+        edges = np.flatnonzero((np.diff(row) != 1) | (np.diff(name) != 0)) + 1
+        for at, end in zip([0, *edges.tolist()], [*edges.tolist(), len(row)], strict=True):
+            if at == end:
+                continue
+            if name[at] != block or row[at] != last + 1:
                 if columns:
-                    yield name, columns, np.concatenate(folds)
-                name, columns, folds = names[at], [], []
-            columns.append(batch.column(2).slice(at, end - at))
-            folds.append(batch.column(3).slice(at, end - at).to_numpy(zero_copy_only=False))
-            at = end
+                    yield block, piece, columns, np.concatenate(folds)
+                block, piece, columns, folds = int(name[at]), int(row[at]), [], []
+            last = int(row[end - 1])
+            columns.append(batch.column(3).slice(at, end - at))
+            folds.append(batch.column(4).slice(at, end - at).to_numpy(zero_copy_only=False))
     if columns:
-        yield name, columns, np.concatenate(folds)
+        yield block, piece, columns, np.concatenate(folds)
 
 
 def _small(counts: np.ndarray) -> bytes:
@@ -126,12 +130,19 @@ def _large(data: bytes, n: int) -> np.ndarray:
     return counts
 
 
-ASK = "block string, share int, kind int, hashes binary, counts binary, deleted binary"
+ASK = "block long, piece long, share int, kind int, hashes binary, counts binary, deleted binary"
 
 
 def _ask(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, columns, folds in _by_block(batches):
+        def row(share: int, kind: int, *data: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([piece]), pa.array([share], pa.int32()), pa.array([kind], pa.int32()),
+                 *(pa.array([x], pa.binary()) for x in data)],
+                names=["block", "piece", "share", "kind", "hashes", "counts", "deleted"],
+            )
+
+        for name, piece, columns, folds in _pieces(batches):
             block = Block(columns)
             fold = np.repeat(folds, np.diff(block.first))
             for kind, values, at in ((0, block.word, block.word_at), (1, block.pair, block.pair_at)):
@@ -140,36 +151,35 @@ def _ask(parts: int):
                 edge = np.searchsorted(_key(values, parts), np.arange(parts + 1))
                 for share, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                     if a < b:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name]), pa.array([share], pa.int32()), pa.array([kind], pa.int32()),
-                             *(pa.array([x], pa.binary()) for x in (values[a:b].tobytes(), _small(counts[a:b]), _small(deleted[a:b])))],
-                            names=["block", "share", "kind", "hashes", "counts", "deleted"],
-                        )
+                        yield row(share, kind, values[a:b].tobytes(), _small(counts[a:b]), _small(deleted[a:b]))
+            yield row(piece // BLOCK_ROWS % parts, 2, _deleted_tokens(block, fold == DELETED), b"", b"")
 
     return run
 
 
-def _deleted_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block the distinct (pair, word, context) of its deleted documents as places in the answers, with their counts."""
-    for name, columns, folds in _by_block(batches):
-        block = Block(columns)
-        held = np.repeat(folds == DELETED, np.diff(block.first))
-        context = np.empty_like(block.word_at)
-        context[1:] = block.word_at[:-1]
-        context[block.first[:-1]] = np.searchsorted(block.word, _END)
-        _, at, n = np.unique(block.pair_at[held], return_index=True, return_counts=True)
-        rows = [x[held][at] for x in (block.pair_at, block.word_at, context)] + [n]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name]), *(pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in rows)],
-            names=["block", "pair", "word", "context", "n"],
-        )
+def _deleted_tokens(block: Block, held: np.ndarray) -> bytes:
+    """The distinct (pair, word, context) of deleted documents as places in the answers, with their counts."""
+    context = np.empty_like(block.word_at)
+    context[1:] = block.word_at[:-1]
+    context[block.first[:-1]] = np.searchsorted(block.word, _END)
+    _, at, n = np.unique(block.pair_at[held], return_index=True, return_counts=True)
+    rows = [x[held][at] for x in (block.pair_at, block.word_at, context)] + [n]
+    return np.stack(rows).astype("<i4").tobytes()
 
 
-ANSWER = "block string, share int, kind int, size int, counts binary, deleted binary, words long, tokens long, kept_words long, kept_tokens long"
+ANSWER = "block long, piece long, share int, kind int, size int, digest long, counts binary, deleted binary, words long, tokens long, kept_words long, kept_tokens long"
 
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Totals of one share and kind for every block that asked, in the order asked."""
+    """Totals of one share and kind for every piece that asked, in the order asked; kind 2 is handed on."""
+    n = len(table)
+    same = [table.column(c).combine_chunks() for c in ("block", "piece", "share", "kind")]
+    names = [f.split()[0] for f in ANSWER.split(", ")]
+    if key[1].as_py() == 2:
+        none = pa.array([0] * n, pa.int64())
+        return pa.Table.from_arrays(
+            [*same, pa.array([0] * n, pa.int32()), none, table.column("hashes").combine_chunks(), pa.array([b""] * n, pa.binary()), *[none] * 4], names=names
+        )
     hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
     values, at = np.unique(np.concatenate(hashes), return_inverse=True)
     edges = np.cumsum([len(h) for h in hashes])[:-1]
@@ -182,20 +192,35 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     kept = totals - deleted
     facts = [int((totals > 0).sum()), int(totals.sum()), int((kept > 0).sum()), int(kept.sum())]
     own = np.split(at, edges)
-    n = len(own)
     return pa.Table.from_arrays(
-        [table.column("block").combine_chunks(), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([key[1].as_py()] * n, pa.int32()),
-         pa.array([len(o) for o in own], pa.int32()),
+        [*same, pa.array([len(o) for o in own], pa.int32()), pa.array([_digest(h) for h in hashes], pa.int64()),
          pa.array([_small(totals[o]) for o in own], pa.binary()), pa.array([_small(deleted[o]) for o in own], pa.binary()),
          # The facts of a share are told once.
          *(pa.array([f] + [0] * (n - 1), pa.int64()) for f in facts)],
-        names=["block", "share", "kind", "size", "counts", "deleted", "words", "tokens", "kept_words", "kept_tokens"],
+        names=names,
     )
 
 
-def _told(answers: pa.Table) -> dict[tuple[int, str], np.ndarray]:
+def _digest(hashes: np.ndarray) -> int:
+    return int(mix(hashes).sum(dtype=np.uint64).astype(np.int64))
+
+
+def _checked(block: Block, rows: list[dict]) -> dict[tuple[int, str], np.ndarray]:
+    """Totals told to a piece, if they are for its own hashes."""
+    for kind, values in ((0, block.word), (1, block.pair)):
+        at = 0
+        for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["share"]):
+            if r["digest"] != _digest(values[at : at + r["size"]]):
+                raise RuntimeError(f"answers for other n-grams than those of the piece at row {r['piece']}")
+            at += r["size"]
+        if at != len(values):
+            raise RuntimeError(f"{at} answers for {len(values)} n-grams of a piece of block {rows[0]['block'] if rows else None}")
+    return _told(rows)
+
+
+def _told(answers: list[dict]) -> dict[tuple[int, str], np.ndarray]:
     """Totals per kind, put together from the shares."""
-    rows = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["share"]))
+    rows = sorted(answers, key=lambda r: (r["kind"], r["share"]))
     return {
         (kind, name): np.concatenate([_large(r[name], r["size"]) for r in rows if r["kind"] == kind])
         for kind in (0, 1) for name in ("counts", "deleted")
@@ -224,11 +249,13 @@ def _bin(ratio: np.ndarray) -> np.ndarray:
 
 
 def _held_out_counts(kept_words: int, kept_tokens: int):
-    def run(key: tuple, index: pa.Table, answers: pa.Table) -> pa.Table:
-        """Deleted tokens of a block by context bucket and by the ratios of both estimates to the uniform one."""
-        told = _told(answers)
+    def run(key: tuple, answers: pa.Table) -> pa.Table:
+        """Deleted tokens of a piece by context bucket and by the ratios of both estimates to the uniform one."""
+        rows = answers.to_pylist()
+        told = _told(rows)
         word, pair = (told[k, "counts"] - told[k, "deleted"] for k in (0, 1))
-        at = {c: np.frombuffer(index.column(c)[0].as_buffer(), np.int32) for c in ("pair", "word", "context", "n")}
+        (index,) = (r["counts"] for r in rows if r["kind"] == 2)
+        at = dict(zip(("pair", "word", "context", "n"), np.frombuffer(index, "<i4").reshape(4, -1), strict=True))
         context = word[at["context"]]
         cells = (bucket_of(context) * BINS + _bin(pair[at["pair"]] / np.maximum(context, 1) * (kept_words + 1))) * BINS
         cells += _bin(word[at["word"]] / max(kept_tokens, 1) * (kept_words + 1))
@@ -258,7 +285,20 @@ def maximise(pair_bin: np.ndarray, word_bin: np.ndarray, n: np.ndarray, rounds:
 
 def _scores(weights: np.ndarray, n_words: int, n_tokens: int):
     def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        block, told = Block(texts.column("text").chunks), _told(answers)
+        told: dict[int, list[dict]] = {}
+        for r in answers.to_pylist():
+            told.setdefault(r["piece"], []).append(r)
+        row, firsts = texts.column("row").to_numpy(), np.array(sorted(told), np.int64)
+        piece = np.searchsorted(firsts, row, "right") - 1
+        if not len(firsts) or piece.min() < 0:
+            raise RuntimeError(f"no answers for block {key[0]}")
+        return pa.concat_tables(
+            scored(texts.filter(pa.array(piece == i)), told[first]) for i, first in enumerate(firsts.tolist())
+        )
+
+    def scored(texts: pa.Table, rows: list[dict]) -> pa.Table:
+        block = Block(texts.column("text").chunks)
+        told = _checked(block, rows)
         count, both, context = _estimates(block, told[0, "counts"], told[1, "counts"])
         m = weights[bucket_of(context)]
         # Without any count of the context its weight goes to the lower orders.
@@ -279,17 +319,13 @@ def _scores(weights: np.ndarray, n_words: int, n_tokens: int):
 
 
 def _blocks(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """``block, doc_id, text, fold``: rows in the order of their files, a block is part of a file split."""
-    names = {"doc_id": "long", "text": "string"}
-    try:
-        docs.select("_metadata.row_index")
-    except AnalysisException:  # not read straight from files
-        docs = scratch.save(pick(docs, names), "texts")
-    have = set(docs.columns)
-    return docs.select(
-        F.expr(f"concat(_metadata.file_path, ':', _metadata.file_block_start, ':', _metadata.row_index div {BLOCK_ROWS})").alias("block"),
-        *((F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in names.items()),
-    ).withColumn("fold", F.expr(f"CAST(pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), {FOLDS}) AS INT)"))
+    """``row, block, doc_id, text, fold``, written once: rows and blocks keep their numbers however they are read."""
+    rows = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.monotonically_increasing_id())
+    # A partition's numbers start at a multiple of 2^33, so no block has rows of two partitions.
+    return scratch.save(rows.select(
+        "row", F.expr(f"row div {BLOCK_ROWS}").alias("block"), "doc_id", "text",
+        F.expr(f"CAST(pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), {FOLDS}) AS INT)").alias("fold"),
+    ), "texts", compression="zstd")
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -303,10 +339,9 @@ def score(docs: DataFrame) -> DataFrame:
     facts = answers.where("kind = 0").agg(*(
         F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "tokens", "kept_words", "kept_tokens")
     )).first()
-    answers = answers.select("block", "share", "kind", "size", "counts", "deleted")
+    answers = answers.select("block", "piece", "share", "kind", "size", "digest", "counts", "deleted")
     histogram = (
-        texts.mapInArrow(_deleted_tokens, "block string, pair binary, word binary, context binary, n binary")
-        .groupBy("block").cogroup(answers.groupBy("block"))
+        answers.groupBy("piece")
         .applyInArrow(_held_out_counts(facts.kept_words, facts.kept_tokens), "bucket int, pair_bin int, word_bin int, n long")
         .groupBy("bucket", "pair_bin", "word_bin").agg(F.sum("n").alias("n"))
     )
@@ -316,7 +351,7 @@ def score(docs: DataFrame) -> DataFrame:
         maximise(pair_bin[bucket == b], word_bin[bucket == b], n[bucket == b]) for b in range(BUCKETS)
     ])
     return (
-        texts.groupBy("block").cogroup(answers.groupBy("block"))
+        texts.groupBy("block").cogroup(answers.where("kind < 2").groupBy("block"))
         .applyInArrow(
             _scores(weights, facts.words, facts.tokens),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",

@@ -78,6 +78,36 @@ def test_language_model(docs, odd, clashing):
     assert language_model.score(docs([])).count() == 0
 
 
+def test_language_model_whatever_the_splits(spark, docs, tmp_path, monkeypatch):
+    """Every job may split the texts elsewhere, as when executors come or go between the jobs."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=60))) for i in range(400)]
+    path = str(tmp_path / "docs")
+    docs(rows).coalesce(1).write.option("parquet.block.size", 4096).parquet(path)
+    whole = sorted(language_model.score(spark.read.parquet(path)).collect())
+    set_size = lambda size: spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    save, seen, sizes = language_model.Scratch.save, [], iter((7000, 3000, 5000))
+
+    def other_splits(self, df, name="t", **options):
+        out = save(self, df, name, **{**options, "parquet.block.size": "4096", "parquet.page.size.row.check.min": "10",
+                                      "parquet.block.size.row.check.min": "10"})
+        set_size(next(sizes))
+        seen.append(out.select("piece").distinct().count() if name == "answers" else 0)
+        return out
+
+    monkeypatch.setattr(language_model.Scratch, "save", other_splits)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        df = language_model.score(spark.read.parquet(path))
+        set_size(2000)
+        got = sorted(df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert max(seen) > 1  # the block was read in pieces
+    assert [r[:5] for r in got] == [r[:5] for r in whole]
+    assert [r[5:] for r in got] == [pytest.approx(r[5:]) for r in whole]
+
+
 def test_toxicity_catches_misspellings(docs, labels, odd, clashing):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in ("tre", "mol", "san", "vik") for b in ("da", "ren", "tos", "lia")]
