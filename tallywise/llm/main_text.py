@@ -9,7 +9,10 @@ paragraphs with few links; its text comes out block by block in page order.
 
 Parts that are never main text are left out whole: scripts, styles, forms, menus, page
 headers and footers, sidebars, notices, adverts, reader comments, by element or by the
-words of class, id and role.
+words of class, id and role. A form, or an element left out by such a word, that holds most
+of the page's article text (without any article: of its paragraphs) is the frame of
+the page and stays. One named for comments or related texts stays only if no article and hardly
+any other text is outside of it.
 
 Null and empty pages, and pages without a paragraph, give the empty text. Broken markup
 is read leniently: unclosed elements end with their parents, an unclosed tag or
@@ -37,6 +40,10 @@ BLOCKS = frozenset(
     "caption figure figcaption h1 h2 h3 h4 h5 h6 header address details summary center hr fieldset".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td dd li div section article main h1 h2 h3 h4 h5 h6".split())
+#: Those of them that hold texts of others, which may be longer than the main text.
+OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
+#: Never left out for their names.
+WHOLE = frozenset("html body article main".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Elements whose start ends an open element of the same group.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -60,30 +67,36 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Tree:
-    """Block elements by number: parent, element, whether left out, lengths of text and of link text, points."""
+    """Block elements by number: parent, element, whether left out, lengths of text and of link text, points.
+
+    ``mark``: 1 if left out unless it proves to be the frame of the page, 2 if left out for sure;
+    ``named``: what its words name, see ``_around``.
+    """
 
     def __init__(self) -> None:
         self.parent, self.tag, self.out = [-1], ["html"], [False]
+        self.mark, self.named = [0], [0]
         self.length, self.links, self.points = [0], [0], [0.0]
         self.blocks: list[tuple[int, str]] = []
 
-    def add(self, parent: int, tag: str, out: bool) -> int:
+    def add(self, parent: int, tag: str, mark: int, named: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
-        self.out.append(out)
+        self.out.append(False)
+        self.mark.append(mark)
+        self.named.append(named)
         self.length.append(0)
         self.links.append(0)
         self.points.append(0.0)
         return len(self.tag) - 1
 
 
-def _around(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    for found in _NAMED.finditer(attributes):
-        if any(w.lower() in AROUND for w in _WORD.findall(found[1] or found[2] or found[3] or "")):
-            return True
-    return False
+def _around(attributes: str) -> int:
+    """1 if a word names a part around the main text, 2 if one for texts of others."""
+    words = {
+        w.lower() for found in _NAMED.finditer(attributes) for w in _WORD.findall(found[1] or found[2] or found[3] or "")
+    }
+    return 2 if words & OTHERS else 1 if words & AROUND else 0
 
 
 def read(page: str) -> Tree:
@@ -97,7 +110,7 @@ def read(page: str) -> Tree:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             node = open_nodes[-1]
-            if block and not tree.out[node]:
+            if block:
                 tree.blocks.append((node, block))
                 tree.length[node] += len(block)
                 tree.links[node] += min(state["links"], len(block))
@@ -150,12 +163,55 @@ def read(page: str) -> Tree:
                         break
             parent = open_nodes[-1]
             inside = any(tree.tag[n] in ("article", "main") for n in open_nodes)
-            out = tree.out[parent] or tag in DROPPED or (tag == "header" and not inside) or _around(tag, found[3] or found[6] or "")
-            open_nodes.append(tree.add(parent, tag, out))
+            named = _around(found[3] or found[6] or "")
+            mark = 2 if tag in DROPPED and tag != "form" or tag == "header" and not inside else 0
+            if not mark and (tag == "form" or named and tag not in WHOLE):
+                mark = 1
+            open_nodes.append(tree.add(parent, tag, mark, named))
     flush()
+    settle(tree)
     return tree
 
 
+def _gain(tree: Tree, node: int, block: str) -> float:
+    if tree.tag[node] not in PARAGRAPHS:
+        return 0.0
+    return (1 + block.count(",") + min(len(block) / 100, 3)) * (1 - tree.links[node] / max(tree.length[node], 1))
+
+
+def settle(tree: Tree) -> None:
+    """Decide what is left out, now that it is known what every element holds."""
+    n = len(tree.tag)
+    sure, article = [False] * n, [False] * n
+    for node in range(1, n):  # parents have smaller numbers
+        up = tree.parent[node]
+        sure[node] = sure[up] or tree.mark[node] == 2
+        article[node] = article[up] or (tree.tag[node] in ("article", "main") and not tree.named[node])
+    text, told = [0.0] * n, [0.0] * n
+    for node, block in tree.blocks:
+        if not sure[node]:
+            gain = _gain(tree, node, block)
+            text[node] += gain
+            told[node] += gain * article[node]
+    for node in range(n - 1, 0, -1):
+        text[tree.parent[node]] += text[node]
+        told[tree.parent[node]] += told[node]
+    for node in range(1, n):
+        mark = tree.mark[node]
+        if tree.named[node] == 2:
+            frame = told[node] == told[0] and text[node] > text[0] * 0.9
+        elif told[0]:
+            frame = told[node] > told[0] / 2 and text[node] > text[0] / 4
+        else:
+            frame = text[node] > text[0] / 2
+        if mark == 1 and frame:
+            mark = 0
+        tree.out[node] = tree.out[tree.parent[node]] or mark > 0
+        if tree.out[node]:
+            tree.length[node] = tree.links[node] = 0
+    tree.blocks = [(node, block) for node, block in tree.blocks if not tree.out[node]]
+
+
 def choose(tree: Tree) -> set[int]:
     """The kept containers: the best one and its like siblings."""
     n = len(tree.tag)
@@ -165,7 +221,7 @@ def choose(tree: Tree) -> set[int]:
         links[tree.parent[node]] += links[node]
     for node, block in tree.blocks:
         if tree.tag[node] in PARAGRAPHS:
-            gain = (1 + block.count(",") + min(len(block) / 100, 3)) * (1 - tree.links[node] / max(tree.length[node], 1))
+            gain = _gain(tree, node, block)
             # The block's own element if it holds others too, else its parent, gets the full points.
             up, share = (node, 1.0) if tree.tag[node] in ("div", "section", "article", "main") else (tree.parent[node], 1.0)
             level = 1

@@ -141,6 +141,31 @@ def test_main_text(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = [f"Paragraph {i}, " + "with words, and more of them, " * 10 + "end." for i in range(30)]
+BODY = "".join(f"<p>{x}</p>" for x in LONG)
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="site has-sidebar">', '<div class="no-sidebar">', "<div class='content-with-rail'>", '<div id="search-page">',
+    '<div class="modal-open"><div class="with-banner">', "<form action=/x>",
+])
+def test_frame_of_the_page_stays(wrapper):
+    around = '<div class="sidebar"><p>Side, text, here.</p></div><div class="comments"><article class="comment"><p>Nice, I say.</p></article></div>'
+    end = "</form>" if "form" in wrapper else "</div>" * wrapper.count("<div")
+    for count in (1, 30):
+        body, text = "".join(f"<p>{x}</p>" for x in LONG[:count]), LONG[:count]
+        page = f"<body>{wrapper}<article><h1>Head</h1>{body}</article>{around}{end}<footer>F</footer></body>"
+        assert main_text.main_text(page).split("\n") == ["Head", *text]
+    page = f"<body>{wrapper}<div>{BODY}</div>{around}{end}</body>"
+    assert main_text.main_text(page).split("\n") == LONG
+
+
+def test_long_comments_stay_out():
+    comments = f'<div id="comments"><h3>Comments</h3>{BODY}</div>'
+    for page in (f"<article><p>Short, text.</p></article>{comments}", f"<div class=content><p>{LONG[0]}</p>" + f"<p>{LONG[1]}</p>" * 9 + f"</div>{comments}"):
+        assert main_text.main_text(page).split("\n") in (["Short, text."], [LONG[0]] + [LONG[1]] * 9)
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<div>" * 3000 + "deep " * 9000, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
