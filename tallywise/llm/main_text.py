@@ -4,8 +4,10 @@ The markup is read into a tree of block elements; inline elements only mark text
 link text. Every paragraph passes points to its ancestors: one, one per comma and up to
 three for its length, in full to the parent, half to the grandparent, a third of that
 and so on further up. Points of a container are discounted by its link density. The best
-container is kept with those siblings that score at least a fifth of it or are plain
-paragraphs with few links; its text comes out block by block in page order.
+container stands for its enclosing article or main element, if it has one, which is kept
+whole: headings, quotes, tables and short sections included. It is kept with those siblings
+that score at least a fifth of it or are paragraphs, headings, quotes, lists, tables, figures
+or like sections with few links; the text comes out block by block in page order.
 
 Parts that are never main text are left out whole: scripts, styles, forms, menus, page
 headers and footers, sidebars, notices, adverts, reader comments, by element or by the
@@ -44,6 +46,8 @@ PARAGRAPHS = frozenset("p pre blockquote td dd li div section article main h1 h2
 OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 #: Never left out for their names.
 WHOLE = frozenset("html body article main".split())
+#: Kept beside the best container, if they have few links.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure ul ol dl".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Elements whose start ends an open element of the same group.
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
@@ -239,13 +243,20 @@ def choose(tree: Tree) -> set[int]:
                 best, most = node, tree.points[node]
     if best < 0:
         return set()
+    up = best
+    while up >= 0 and tree.tag[up] not in ("article", "main"):
+        up = tree.parent[up]
+    same = tree.tag[best]
+    if up >= 0:
+        best, most, same = up, max(tree.points[up], 0.0), tree.tag[up]
     kept = {best}
     if tree.parent[best] >= 0:
         for node in range(n):
             if tree.parent[node] == tree.parent[best] and not tree.out[node] and length[node]:
                 few = links[node] / length[node]
-                plain = tree.tag[node] == "p" and (few < 0.25 if length[node] > 80 else few == 0)
-                if tree.points[node] >= most / 5 or plain:
+                plain = tree.tag[node] in PLAIN or tree.tag[node] == same == "section"
+                plain = plain and (few < 0.25 if length[node] > 80 else few == 0)
+                if tree.points[node] >= most / 5 and tree.points[node] > 0 or plain:
                     kept.add(node)
     return kept
 

@@ -166,6 +166,20 @@ def test_long_comments_stay_out():
         assert main_text.main_text(page).split("\n") in (["Short, text."], [LONG[0]] + [LONG[1]] * 9)
 
 
+def test_whole_article_is_kept():
+    rest = "<ul><li>One item</li></ul><blockquote>Short quote</blockquote><pre>code</pre><figure><figcaption>Seen</figcaption></figure>"
+    after = ["One item", "Short quote", "code", "Seen"]
+    for name in ("article", "main"):
+        page = f'<body><{name}><h1>Head</h1><div class=body>{BODY}</div>{rest}<div class="share">Share it</div></{name}></body>'
+        assert main_text.main_text(page).split("\n") == ["Head", *LONG, *after]
+    page = f"<article><section><h2>A</h2><p>Only, one.</p></section><section><h2>B</h2>{BODY}</section></article>"
+    assert main_text.main_text(page).split("\n") == ["A", "Only, one.", "B", *LONG]
+    page = f"<body><div><h1>Head</h1><div class=body>{BODY}</div>{rest}</div></body>"
+    assert main_text.main_text(page).split("\n") == ["Head", *LONG, *after]
+    page = f"<body><section><p>Only, one.</p></section><section>{BODY}</section><div class=comments>{BODY[:300]}</div></body>"
+    assert main_text.main_text(page).split("\n") == ["Only, one.", *LONG]
+
+
 def test_extract(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None), (2, "v", "<div>" * 3000 + "deep " * 9000, "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
