@@ -18,4 +18,25 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op6_top_k": TOP_K}
+LINE_DEDUP = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM d
+), k AS (
+  SELECT *, translate(
+      trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), held AS (
+  SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 AND doc_id IS NOT NULL
+  GROUP BY key HAVING min(doc_id) < max(doc_id)
+), judged AS (
+  SELECT k.*, coalesce(held.keeper <> k.doc_id, false) AS gone FROM k LEFT JOIN held USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+ORACLES: dict[str, str] = {"op6_top_k": TOP_K, "op13_line_dedup": LINE_DEDUP}

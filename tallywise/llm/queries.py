@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from . import (
     chat_format,
     language_model,
+    line_dedup,
     main_text,
     mixing,
     near_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     top_k,
     toxicity,
+    whitening,
 )
 
 
@@ -92,10 +95,24 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(*prefix_trie.rebuild(_table(spark, sf_dir, "conversations")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_minhash_near_dedup, op3_quality_rules, op4_lm_scoring, op5_source_mixing,
-        op6_top_k, op7_main_text, op8_packing, op9_sharding, op10_chat_formatting,
+        op6_top_k, op7_main_text, op8_packing, op9_sharding, op10_chat_formatting, op11_prefix_trie, op12_embedding_whitening,
+        op13_line_dedup,
     )
 }
