@@ -45,17 +45,18 @@ def running(scratch: Scratch, df: DataFrame, place: str, columns: Sequence[str],
     fold = getattr(F, how)
     together = "+" if how == "sum" else "^"
     apart = "-" if how == "sum" else "^"
-    blocks = df.withColumn("_block", F.expr(f"{place} div {BLOCK}"))
-    upto = Window.partitionBy("_block").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    block = f"{place}_block"
+    blocks = df.withColumn(block, F.expr(f"{place} div {BLOCK}"))
+    upto = Window.partitionBy(block).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     within = blocks.withColumns({f"running_{c}": fold(c).over(upto) for c in columns})
     if size <= BLOCK:
-        return within.drop("_block")
-    totals = scratch.save(blocks.groupBy("_block").agg(*(fold(c).alias(c) for c in columns)), "blocks")
-    before = running(scratch, totals, "_block", columns, -(-size // BLOCK), how)
-    before = before.select("_block", *(F.expr(f"running_{c} {apart} {c}").alias(f"_before_{c}") for c in columns))
-    return within.join(before, "_block").withColumns(
+        return within.drop(block)
+    totals = scratch.save(blocks.groupBy(block).agg(*(fold(c).alias(c) for c in columns)), "blocks")
+    before = running(scratch, totals, block, columns, -(-size // BLOCK), how)
+    before = before.select(block, *(F.expr(f"running_{c} {apart} {c}").alias(f"_before_{c}") for c in columns))
+    return within.join(before, block).withColumns(
         {f"running_{c}": F.expr(f"running_{c} {together} _before_{c}") for c in columns}
-    ).drop("_block", *(f"_before_{c}" for c in columns))
+    ).drop(block, *(f"_before_{c}" for c in columns))
 
 
 def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
