@@ -7,7 +7,8 @@ import argparse
 from .params import DEFAULT_WEIGHTS
 from .plans.engine import LIFESPANS, Engine
 from .session import build_session
-from .sources.catalog import default_files, read_csv_tables, read_parquet_tables
+from .sources.catalog import default_files, fingerprint, read_csv_tables, read_parquet_tables
+from .sources.schemas import TABLES
 from .sources.staging import Stages
 
 
@@ -24,6 +25,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     )
     parser.add_argument("--weights", choices=("derived", "default"), default="derived")
     parser.add_argument("--lifespan", choices=LIFESPANS, default="auto")
+    parser.add_argument("--forecast", action="store_true", help="also write the orders expected of every person")
     return parser.parse_args(argv)
 
 
@@ -35,11 +37,18 @@ def main(argv: list[str] | None = None) -> None:
         files.update(pair.split("=", 1) for pair in args.file)
         tables = read_csv_tables(spark, args.raw_dir, files)
     else:
+        files = {t: f"{t}.parquet" for t in TABLES}
         tables = read_parquet_tables(spark, args.raw_dir)
+    paths = [f"{args.raw_dir.rstrip('/')}/{name}" for name in files.values()]
+    source = f"{args.format} {sorted(files.items())} {fingerprint(spark, paths)}"
     chosen = None if args.weights == "derived" else DEFAULT_WEIGHTS
-    engine = Engine(tables, Stages(spark), chosen, args.lifespan)
+    engine = Engine(tables, Stages(spark, source=source), chosen, args.lifespan)
     for name, path in engine.write(args.out_dir).items():
         print(f"{name}: {path}")
+    if args.forecast:
+        path = f"{args.out_dir.rstrip('/')}/forecast"
+        engine.forecast().write.mode("overwrite").parquet(path)
+        print(f"forecast: {path}")
 
 
 if __name__ == "__main__":

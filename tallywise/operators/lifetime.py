@@ -128,6 +128,16 @@ def value_inputs(rfm: DataFrame, with_lifespan: DataFrame | None = None) -> Data
     ).select(*rfm.columns, "yearly_orders", "lifespan_years", "prob_alive", "lifespan_method")
 
 
+def chosen_inputs(empirical: DataFrame, modelled: DataFrame, use_model: Column) -> DataFrame:
+    """Value inputs of one of two methods; ``use_model`` is a scalar of the plan.
+
+    Both are filtered by the same scalar, so the one not wanted reads no row.
+    """
+    return modelled.filter(F.coalesce(use_model, F.lit(False))).unionByName(
+        empirical.filter(~F.coalesce(use_model, F.lit(False)))
+    )
+
+
 def clv_scores(inputs: DataFrame, margin: float = GROSS_MARGIN) -> DataFrame:
     """Published scores: value in cents, rate, years and P(alive) to four places."""
     passed = [

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
@@ -82,7 +82,7 @@ def fit_coefficients(target: DataFrame) -> DataFrame:
         elasticNetParam=0.0,
         standardization=False,
         maxIter=1000,
-        tol=1e-9,
+        tol=1e-12,
     ).fit(frame)
     return spark.range(1).select(*[
         F.lit(float(v)).alias(d)
@@ -90,8 +90,8 @@ def fit_coefficients(target: DataFrame) -> DataFrame:
     ])
 
 
-def weight_policy(coefficients: DataFrame) -> DataFrame:
-    """Coefficients R, F, M to usable weights.
+def weight_policy(coefficients: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Coefficients R, F, M to usable weights, beside the columns in ``keep``.
 
     The defaults stand when one dimension takes more than 60 % (the fit has
     collapsed onto it) or when no weight is more than 5 points away from its
@@ -99,7 +99,7 @@ def weight_policy(coefficients: DataFrame) -> DataFrame:
     absorbs what is missing to 1.
     """
     total = sum((F.abs(F.col(d)) for d in DIMENSIONS), F.lit(0.0))
-    shares = coefficients.select(*[
+    shares = coefficients.select(*keep, *[
         round_even(F.try_divide(F.abs(F.col(d)), total), 4).alias(d) for d in DIMENSIONS
     ])
     largest = F.greatest(*DIMENSIONS)
@@ -127,6 +127,7 @@ def weight_policy(coefficients: DataFrame) -> DataFrame:
         )
 
     return shares.withColumn("decision", decision).select(
+        *keep,
         *[F.col(d).alias(f"share_{d}") for d in DIMENSIONS],
         "decision",
         *[final(d).alias(f"weight_{d}") for d in DIMENSIONS],

@@ -66,6 +66,13 @@ MODEL_YEARS_UNKNOWN = 0.5
 HORIZON_YEARS = 2
 MODEL_PENALTY = 0.001
 
+# Names of the published tables, in the order of their steps.
+PUBLISHED_STAGES = ("customer_base", "rfm_segments", "clv_scores", "clv_sensitivity", "retention_roi")
+PUBLISHED_EXPORTS = (
+    "01_customer_detail", "02_segment_summary", "03_retention_comparison", "04_clv_sensitivity",
+    "05_geographic_summary",
+)
+
 # Retention plans.
 RETENTION_BUDGET = 180_000.0
 ELIGIBLE_MAX_RECENCY_SCORE = 3
@@ -121,3 +128,6 @@ TIGHT_BUDGET = 18_000.0
 
 # Model parameters used where a query must not depend on a fit.
 ILLUSTRATIVE_MODEL = {"r": 0.9, "alpha": 120.0, "a": 0.6, "b": 2.5}
+
+# The same for buyers who come back within days: small alpha, so forecasts reach far.
+QUICK_MODEL = {"r": 0.25, "alpha": 4.0, "a": 0.8, "b": 2.4}

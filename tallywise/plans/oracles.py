@@ -10,8 +10,13 @@ import re
 
 from ..params import (
     GROSS_MARGIN,
+    DEFAULT_WEIGHTS,
     ILLUSTRATIVE_MODEL,
     INTERVENTIONS,
+    MODEL_PENALTY,
+    PUBLISHED_EXPORTS,
+    PUBLISHED_STAGES,
+    QUICK_MODEL,
     RETENTION_BUDGET,
     SEGMENT_MIDPOINTS,
     SEGMENTS,
@@ -313,56 +318,124 @@ STEPS["histories"] = """
 STEPS["history_groups"] = """
     select frequency, recency, T, count(*) as customers from histories group by all"""
 
-_P = {k: dbl(v) for k, v in ILLUSTRATIVE_MODEL.items()}
-ALIVE = (
-    "case when frequency = 0 then 1.0::double else 1 / (1 + {a} / ({b} + frequency - 1)"
-    " * pow(({alpha} + T) / ({alpha} + recency), {r} + frequency)) end"
-).format(**_P)
-STEPS["alive"] = f"""
-    select r.customer_unique_id, {ALIVE} as prob_alive
-    from rfm r left join histories h using (customer_unique_id)
+
+
+def _alive(p: dict[str, str], h: str = "") -> str:
+    """P(alive) at the parameters, columns or numbers; ``h`` names the history's table."""
+    return (
+        f"case when {h}frequency = 0 then 1.0::double else 1 / (1 + {p['a']} / ({p['b']} + {h}frequency - 1)"
+        f" * pow(({p['alpha']} + {h}T) / ({p['alpha']} + {h}recency), {p['r']} + {h}frequency)) end"
+    )
+
+
+def _model_steps(suffix: str, alive: str, given: str = "") -> None:
+    """Value inputs and scores from the model; ``given`` joins the parameters' row."""
+    STEPS[f"alive{suffix}"] = f"""
+    select r.customer_unique_id, {alive} as prob_alive
+    from rfm r left join histories h using (customer_unique_id) {given}
     where h.T is not null
     union all
     select customer_unique_id, null from rfm
     where customer_unique_id not in (select customer_unique_id from histories)"""
-STEPS["model_years"] = """
+    STEPS[f"model_years{suffix}"] = f"""
     select r.*, prob_alive,
            case when prob_alive is not null then greatest(prob_alive * 2, 0.1::double) end as years
-    from rates r join alive using (customer_unique_id)"""
-STEPS["model_inputs"] = f"""
+    from rates r join alive{suffix} using (customer_unique_id)"""
+    STEPS[f"model_inputs{suffix}"] = f"""
     select m.* exclude (years, prob_alive),
            coalesce(years, middle, 0.5::double) as lifespan_years,
            prob_alive, 'BG/NBD' as lifespan_method
-    from model_years m
-    left join (select rfm_segment, {median('years')} as middle from model_years group by all)
+    from model_years{suffix} m
+    left join (select rfm_segment, {median('years')} as middle from model_years{suffix} group by all)
       using (rfm_segment)"""
-STEPS["model_scores"] = published("model_inputs")
+    STEPS[f"model_scores{suffix}"] = published(f"model_inputs{suffix}")
+
 
-# The hypergeometric series term by term, as a recursion per history.
-STEPS["series"] = """
+def _forecast_steps(suffix: str, model: dict[str, float]) -> None:
+    """The hypergeometric series term by term, as a recursion per history."""
+    p = {k: dbl(v) for k, v in model.items()}
+    ratio = (
+        "({a} + {b} - 1 - {r} + k) * ({a} - 1 + k) / (({a} + {b} - 1 + frequency + k) * (k + 1.0::double)) * z"
+    ).format(**p)
+    STEPS[f"series{suffix}"] = f"""
     select frequency, recency, T, 0 as k, 1.0::double as term, 1.0::double as partial,
-           730.0::double / ({alpha} + T + 730.0::double) as z
+           730.0::double / ({p['alpha']} + T + 730.0::double) as z
     from history_groups
     union all
-    select frequency, recency, T, k + 1,
-           term * ({a} + {b} - 1 - {r} + k) * ({a} - 1 + k)
-             / (({a} + {b} - 1 + frequency + k) * (k + 1.0::double)) * z,
-           partial + term * ({a} + {b} - 1 - {r} + k) * ({a} - 1 + k)
-             / (({a} + {b} - 1 + frequency + k) * (k + 1.0::double)) * z,
-           z
-    from series where abs(term) > 1e-19 * abs(partial)""".format(**_P)
-STEPS["forecasts"] = """
+    select frequency, recency, T, k + 1, term * {ratio}, partial + term * {ratio}, z
+    from series{suffix} where abs(term) > 1e-19 * abs(partial)"""
+    STEPS[f"forecasts{suffix}"] = """
     select h.frequency, h.recency, h.T, h.customers, {alive} as prob_alive,
            ({a} + {b} - 1 + h.frequency) / ({a} - 1) * (1 - pow(1 - z, {a} - 1) * partial)
              / (1 + case when h.frequency > 0 then {a} / ({b} + h.frequency - 1)
                 * pow(({alpha} + h.T) / ({alpha} + h.recency), {r} + h.frequency) else 0 end)
              as expected_purchases
     from history_groups h
-    join (select frequency, recency, T, max_by(partial, k) as partial, max(z) as z from series group by all) s
+    join (select frequency, recency, T, max_by(partial, k) as partial, max(z) as z from series{suffix} group by all) s
       on s.frequency = h.frequency and s.recency = h.recency and s.T = h.T""".format(
-    alive=ALIVE.replace("frequency", "h.frequency").replace("recency", "h.recency").replace(" T)", " h.T)"),
-    **_P,
+        alive=_alive(p, "h."), suffix=suffix, **p,
+    )
+
+
+def _forecast_of_persons(suffix: str = "") -> str:
+    return f"""
+        select r.customer_unique_id, total_orders - 1 as frequency, customer_tenure_days as recency,
+               recency_days + customer_tenure_days as T, {rnd('prob_alive', 6)} as prob_alive,
+               {rnd('expected_purchases', 6)} as expected_purchases
+        from rfm r left join forecasts{suffix} f
+          on f.frequency = total_orders - 1 and f.recency = customer_tenure_days
+          and f.T = recency_days + customer_tenure_days"""
+
+
+_LIKELIHOOD = """
+      lgamma(r + frequency) - lgamma(r) + r * ln(alpha)
+      + lgamma(a + b) + lgamma(b + frequency) - lgamma(b) - lgamma(a + b + frequency)
+      - (r + frequency) * ln(alpha + T)
+      + case when frequency > 0
+             then ln(1 + exp(ln(a) - ln(b + frequency - 1)
+                    - (r + frequency) * (ln(alpha + recency) - ln(alpha + T)))) else 0 end"""
+
+_model_steps("", _alive({k: dbl(v) for k, v in ILLUSTRATIVE_MODEL.items()}))
+_forecast_steps("", ILLUSTRATIVE_MODEL)
+_forecast_steps("_quick", QUICK_MODEL)
+
+# The best parameters by a search that looks in all 81 directions of the logs at once and
+# halves its step where it is; no slopes, no curvature, unlike the fit.
+STEPS["moves"] = "select {} from {}".format(
+    ", ".join(f"m{i}.d{i}" for i in range(4)),
+    " cross join ".join(f"(select unnest([-1, 0, 1]) as d{i}) m{i}" for i in range(4)),
 )
+STEPS["longest"] = "select max(T)::double as longest from history_groups"
+STEPS["search"] = f"""
+    select 0 as round, 0.0::double as l0, 0.0::double as l1, 0.0::double as l2, 0.0::double as l3,
+           1.6::double as step, 0.0::double as best
+    union all
+    select round + 1, top.p0, top.p1, top.p2, top.p3, case when top.stay then step / 2 else step end, top.value
+    from (
+      select any_value(round) as round, any_value(step) as step,
+             max_by({{'p0': p0, 'p1': p1, 'p2': p2, 'p3': p3, 'stay': stay, 'value': value}},
+                    value + case when stay then 1e-12 else 0 end) as top
+      from (
+        select round, step, p0, p1, p2, p3, stay,
+               sum(customers * ({_LIKELIHOOD})) / sum(customers)
+                 - {dbl(MODEL_PENALTY)} * any_value(r * r + pow(alpha / longest * 10, 2) + a * a + b * b) as value
+        from (
+          select round, step, p0, p1, p2, p3, stay, longest,
+                 exp(p0) as r, exp(p1) * longest / 10 as alpha, exp(p2) as a, exp(p3) as b
+          from (
+            select round, step, l0 + d0 * step as p0, l1 + d1 * step as p1, l2 + d2 * step as p2,
+                   l3 + d3 * step as p3, d0 = 0 and d1 = 0 and d2 = 0 and d3 = 0 as stay
+            from search cross join moves where step > 5e-5
+          ) cross join longest
+        ) cross join history_groups
+        group by round, step, p0, p1, p2, p3, stay
+      )
+    ) where round is not null"""
+STEPS["fitted"] = """
+    select exp(l0) as r, exp(l1) * longest / 10 as alpha,
+           case when exp(l2) / (exp(l2) + exp(l3)) < 1e-6 then 0 else exp(l2) end as a, exp(l3) as b, best as objective
+    from (select * from search order by round desc limit 1) cross join longest"""
+_model_steps("_auto", _alive({p: f"fitted.{p}" for p in ("r", "alpha", "a", "b")}), "cross join fitted")
 
 # -- retention ---------------------------------------------------------------
 
@@ -525,6 +598,43 @@ STEPS["people"] = f"""
     from histories h join forecasts f
       on f.frequency = h.frequency and f.recency = h.recency and f.T = h.T"""
 
+# Weights by Newton steps, one coefficient at a time, over the score cells.
+STEPS["score_cells"] = """
+    select R_score, F_score, M_score, high_value, count(*)::double as n from target group by all"""
+STEPS["class_sizes"] = """
+    select sum(n) as persons, sum(n) filter (where high_value = 1) as high, sum(n) filter (where high_value = 0) as low,
+           {} from score_cells""".format(", ".join(
+    f"sum(n * {d}_score) / sum(n) as mean_{d}, sqrt(greatest(sum(n * {d}_score * {d}_score) / sum(n)"
+    f" - pow(sum(n * {d}_score) / sum(n), 2), 0)) as spread_{d}"
+    for d in "RFM"
+))
+STEPS["features"] = """
+    select high_value as y, 1.0::double as x0, {},
+           n * persons / (2 * case when high_value = 1 then high else low end) as w
+    from score_cells cross join class_sizes where high > 0 and low > 0""".format(", ".join(
+    f"({d}_score - mean_{d}) / case when spread_{d} > 1e-12 then spread_{d} else 1 end as x{i}"
+    for i, d in enumerate("RFM", 1)
+))
+STEPS["newton"] = """
+    select 0 as k, 0.0::double as b0, 0.0::double as b1, 0.0::double as b2, 0.0::double as b3
+    union all
+    select k + 1, {moved}
+    from (
+      select k, b0, b1, b2, b3,
+             (sum(w * (y - p) * x) - penalty) / (sum(w * p * (1 - p) * x * x) + case when k % 4 > 0 then 1 else 0 end) as step
+      from (
+        select k, b0, b1, b2, b3, w, y, 1 / (1 + exp(-(b0 * x0 + b1 * x1 + b2 * x2 + b3 * x3))) as p,
+               case k % 4 when 0 then x0 when 1 then x1 when 2 then x2 else x3 end as x,
+               case k % 4 when 0 then 0 when 1 then b1 when 2 then b2 else b3 end as penalty
+        from newton cross join features where k < 1600
+      ) group by k, b0, b1, b2, b3, penalty
+    )""".format(moved=", ".join(
+    f"b{i} + case when k % 4 = {i} then greatest(-1, least(1, step)) else 0 end" for i in range(4)
+))
+STEPS["coefficients"] = "select b1 as R, b2 as F, b3 as M from newton order by k desc limit 1"
+
+_READ_OFTEN = {"history_groups", "features", "moves", "longest"}
+
 _ORDER = list(STEPS)
 
 
@@ -542,8 +652,11 @@ def compose(final: str) -> str:
             if name not in needed and _mentions(sql, name):
                 needed.add(name)
                 pending.append(STEPS[name])
-    steps = [f"{name} as ({STEPS[name]}\n)" for name in _ORDER if name in needed]
-    recursive = "recursive " if "series" in needed else ""
+    # What a recursion reads in every round is worked out once.
+    steps = [
+        f"{name} as {'materialized ' if name in _READ_OFTEN else ''}({STEPS[name]}\n)" for name in _ORDER if name in needed
+    ]
+    recursive = "recursive " if any(_mentions(STEPS[name], name) for name in needed) else ""
     return (f"with {recursive}" + ",\n".join(steps) + "\n" if steps else "") + final
 
 
@@ -599,12 +712,13 @@ def _correlation(c: str) -> str:
     )
 
 
-def _weight_policy() -> str:
+def _weight_policy(source: str, keep: str = "") -> str:
+    """The policy on columns R, F, M of ``source``; ``keep`` lists further columns."""
+    also = f"{keep}, " if keep else ""
     shares = ", ".join(
         f"{rnd(f'abs({d}) / nullif(abs(R) + abs(F) + abs(M), 0)', 4)} as share_{d}" for d in "RFM"
     )
-    default = {"R": 0.40, "F": 0.35, "M": 0.25}
-    away = ", ".join(f"abs(share_{d} - {dbl(w)})" for d, w in default.items())
+    away = ", ".join(f"abs(share_{d} - {dbl(w)})" for d, w in DEFAULT_WEIGHTS.items())
     rest = "1.0::double - (r2 + f2 + m2)"
     derived = {
         "R": f"case when r2 >= f2 and r2 >= m2 then {rnd(f'r2 + {rest}', 2)} else r2 end",
@@ -612,18 +726,26 @@ def _weight_policy() -> str:
         "M": f"case when m2 > r2 and m2 > f2 then {rnd(f'm2 + {rest}', 2)} else m2 end",
     }
     final = ", ".join(
-        f"case when decision = 'derived' then {derived[d]} else {dbl(default[d])} end as weight_{d}"
+        f"case when decision = 'derived' then {derived[d]} else {dbl(DEFAULT_WEIGHTS[d])} end as weight_{d}"
         for d in "RFM"
     )
     return f"""
-    select share_R, share_F, share_M, decision, {final} from (
+    select {also}share_R, share_F, share_M, decision, {final} from (
       select *, {rnd('share_R', 2)} as r2, {rnd('share_F', 2)} as f2, {rnd('share_M', 2)} as m2,
         case when share_R is null then 'undefined'
              when greatest(share_R, share_F, share_M) > 0.6::double then 'collapsed'
              when greatest({away}) <= 0.05::double then 'near_default' else 'derived' end as decision
-      from (select {shares} from (
-        select {_correlation('R_score')} as R, {_correlation('F_score')} as F,
-               {_correlation('M_score')} as M from target)))"""
+      from (select {also}{shares} from ({source})))"""
+
+
+STEPS["derived_weights"] = _weight_policy("select * from coefficients")
+STEPS["composed_derived"] = """
+    select scored.*, ({}) / 100.0::double as rfm_composite from scored cross join derived_weights""".format(
+    " + ".join(f"round(weight_{d} * 100) * {d}_score" for d in "RFM")
+)
+for _name in ("nearest", "ruled", "rfm"):
+    STEPS[f"{_name}_derived"] = re.sub(r"\b(composed|nearest|ruled)\b", r"\1_derived", STEPS[_name])
+_ORDER = list(STEPS)
 
 
 def _grid() -> str:
@@ -631,16 +753,9 @@ def _grid() -> str:
     grids = " cross join ".join(
         f"(select unnest([{', '.join(dbl(v) for v in vs)}]) as {p})" for p, vs in two.items()
     )
-    likelihood = """
-      lgamma(r + frequency) - lgamma(r) + r * ln(alpha)
-      + lgamma(a + b) + lgamma(b + frequency) - lgamma(b) - lgamma(a + b + frequency)
-      - (r + frequency) * ln(alpha + T)
-      + case when frequency > 0
-             then ln(1 + exp(ln(a) - ln(b + frequency - 1)
-                    - (r + frequency) * (ln(alpha + recency) - ln(alpha + T)))) else 0 end"""
     return f"""
     select r, alpha, a, b, sum(customers)::bigint as customers,
-           {rnd(f'sum(customers * ({likelihood})) / sum(customers)', 6)} as mean_log_likelihood
+           {rnd(f'sum(customers * ({_LIKELIHOOD})) / sum(customers)', 6)} as mean_log_likelihood
     from history_groups cross join {grids} group by r, alpha, a, b"""
 
 
@@ -831,7 +946,18 @@ _RAW: dict[str, str] = {
     "rf_crosstab": _crosstab(),
     "standardized_scores": _standardized(),
     "value_target": "select customer_unique_id, high_value from target",
-    "rfm_weight_policy": _weight_policy(),
+    "rfm_weight_fit": "select {}, p.* from coefficients cross join derived_weights p".format(
+        ", ".join(f"{rnd(d, 4)} as coefficient_{d}" for d in "RFM")
+    ),
+    "rfm_weight_policy": "select * from derived_weights",
+    "rfm_weight_policy_correlation": _weight_policy(
+        "select {} from target".format(", ".join(f"{_correlation(f'{d}_score')} as {d}" for d in "RFM"))
+    ),
+    "rfm_weight_policy_cases": _weight_policy(
+        """select R_score, F_score, M_score, count(*) as customers, R_score - 1 as R, 1 - F_score as F, M_score - 1 as M
+        from rfm group by all""", "R_score, F_score, M_score, customers",
+    ),
+    "rfm_segments_derived": f"select {_BASE}, R_score, F_score, M_score, rfm_composite, rfm_segment from rfm_derived",
     "annualized_frequency": f"""
         select customer_unique_id, total_orders, R_score,
                {rnd('yearly_orders', 4)} as annualized_frequency from rates""",
@@ -877,7 +1003,13 @@ _RAW: dict[str, str] = {
     "bgnbd_summary": "select * from histories",
     "bgnbd_loglik_grid": _grid(),
     "prob_alive": f"select customer_unique_id, {rnd('prob_alive', 6)} as prob_alive from alive",
-    "expected_purchases": f"""
+    "bgnbd_fit": f"""
+        select (select sum(customers)::bigint from history_groups) as customers, true as converged,
+               {rnd('objective', 6)} as objective, {", ".join(f"0.0::double as slope_{p}" for p in ("r", "alpha", "a", "b"))}
+        from fitted""",
+    "expected_purchases": _forecast_of_persons(),
+    "expected_purchases_quick": _forecast_of_persons("_quick"),
+    "expected_purchases_histories": f"""
         select frequency, recency, T, customers, {rnd('prob_alive', 6)} as prob_alive,
                {rnd('expected_purchases', 6)} as expected_purchases from forecasts""",
     "expected_purchases_stats": f"""
@@ -888,6 +1020,7 @@ _RAW: dict[str, str] = {
         select customer_unique_id, rfm_segment, {rnd('lifespan_years', 6)} as lifespan_years
         from model_inputs""",
     "model_lifespan_stats": _lifespan_stats("model_inputs"),
+    "clv_scores_auto": "select * from model_scores_auto",
     "clv_scores_model": "select * from model_scores",
     "current_state": "select * from current",
     "segment_reach": "select * from reach",
@@ -963,4 +1096,10 @@ _RAW: dict[str, str] = {
         select user_id, date_sub('day', min(ts), max(ts))::int as days from events group by user_id""",
 }
 
+# What is published equals what was worked out.
+_SAME = dict(zip(PUBLISHED_EXPORTS, (
+    "export_customer_detail", "segment_summary_export", "retention_comparison", "sensitivity_export", "geographic_summary",
+), strict=True))
+_RAW |= {f"published_{name}": _RAW[_SAME.get(name, name)] for name in (*PUBLISHED_STAGES, *PUBLISHED_EXPORTS)}
+
 ORACLES: dict[str, str] = {name: compose(sql) for name, sql in _RAW.items()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,8 +18,9 @@ from ..operators import (
     scoring,
     weights,
 )
-from ..params import ILLUSTRATIVE_MODEL, TIGHT_BUDGET
+from ..params import ILLUSTRATIVE_MODEL, PUBLISHED_EXPORTS, PUBLISHED_STAGES, QUICK_MODEL, TIGHT_BUDGET
 from ..sources.catalog import run_sql, table_row_counts
+from .base_sql import CUSTOMER_BASE
 from .engine import Engine, engine_for
 
 Query = Callable[[Engine], DataFrame]
@@ -46,16 +47,8 @@ def _scored(e: Engine, *columns: str) -> DataFrame:
 
 
 def _customer_base_sql(e: Engine) -> DataFrame:
-    """The base table asked for in SQL over registered views."""
-    columns = ", ".join(c for c in customers.BASE_COLUMNS if c != "recency_days")
-    text = f"""
-        select {columns},
-               cast(timestampdiff(DAY, last_purchase_date, today) as int) as recency_days
-        from person_rollup
-        cross join (select max(last_purchase_date) as today from person_rollup)
-        order by total_spend desc, customer_unique_id
-    """
-    return run_sql(e.stages.spark, text, {"person_rollup": e.rollup()})
+    """The base table asked for in SQL over the eight input tables."""
+    return run_sql(e.stages.spark, CUSTOMER_BASE, e.tables)
 
 
 def _monetary_score_ranked(e: Engine) -> DataFrame:
@@ -86,10 +79,25 @@ def _weight_fit(e: Engine) -> DataFrame:
 
 
 def _weight_policy(e: Engine) -> DataFrame:
+    return weights.weight_policy(weights.fit_coefficients(weights.value_target(e.rfm())))
+
+
+def _weight_policy_correlation(e: Engine) -> DataFrame:
     target = weights.value_target(e.rfm())
     return weights.weight_policy(weights.score_target_correlation(target))
 
 
+def _weight_policy_cases(e: Engine) -> DataFrame:
+    """The policy on each person's own scores as coefficients: every branch, many times."""
+    cells = e.rfm().groupBy(*scoring.SCORES).agg(F.count(F.lit(1)).alias("customers"))
+    given = cells.select(
+        *scoring.SCORES, "customers",
+        (F.col("R_score") - 1).cast("double").alias("R"), (1 - F.col("F_score")).cast("double").alias("F"),
+        (F.col("M_score") - 1).cast("double").alias("M"),
+    )
+    return weights.weight_policy(given, keep=(*scoring.SCORES, "customers"))
+
+
 def _annualized_frequency(e: Engine) -> DataFrame:
     return e.inputs().select(
         PERSON, "total_orders", "R_score",
@@ -113,14 +121,22 @@ def _grid(e: Engine) -> DataFrame:
 
 
 def _fit(e: Engine) -> DataFrame:
-    model = e.repeat_model
+    """How the fit ended: as flat as rounding tells, and how likely the data are there."""
     persons = e.histories().agg(F.sum("customers").alias("customers"))
-    return persons.select(
-        *[F.lit(getattr(model, p)).alias(p) for p in repeat_model.PARAMETERS],
-        F.lit(model.converged).alias("converged"),
-        F.lit(model.rounds).alias("rounds"),
-        "customers",
+    fitted = e.repeat_fit().select(
+        "converged", round_even(F.col("objective"), 6).alias("objective"),
+        *[F.abs(round_even(F.col(f"slope_{p}"), 6)).alias(f"slope_{p}") for p in repeat_model.PARAMETERS],
     )
+    return persons.crossJoin(F.broadcast(fitted))
+
+
+def _scores_auto(e: Engine) -> DataFrame:
+    """Values with the lifespan method that the fit decides on."""
+    return e.with_options(lifespan="auto").scores()
+
+
+def _read_back(name: str) -> Query:
+    return lambda e: e.published()[name]
 
 
 def _prob_alive(e: Engine) -> DataFrame:
@@ -128,16 +144,19 @@ def _prob_alive(e: Engine) -> DataFrame:
     return alive.select(PERSON, round_even(F.col("prob_alive"), 6).alias("prob_alive"))
 
 
-def _forecast(e: Engine) -> DataFrame:
+def _forecast(params: Mapping[str, float]) -> Query:
+    def run(e: Engine) -> DataFrame:
+        return e.forecast(params).select(PERSON, *repeat_model.HISTORY, "prob_alive", "expected_purchases")
+
+    return run
+
+
+def _forecast_histories(e: Engine) -> DataFrame:
     return repeat_model.forecast_histories(e.histories(), ILLUSTRATIVE_MODEL)
 
 
 def _forecast_stats(e: Engine) -> DataFrame:
-    persons = repeat_model.repeat_histories(e.rfm()).join(
-        repeat_model.forecast_histories(e.histories(), ILLUSTRATIVE_MODEL),
-        list(repeat_model.HISTORY),
-    )
-    return repeat_model.forecast_stats(persons)
+    return repeat_model.forecast_stats(e.forecast(ILLUSTRATIVE_MODEL))
 
 
 def _model_inputs(e: Engine) -> DataFrame:
@@ -189,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "table_row_counts": lambda e: table_row_counts(e.tables),
     "category_translated_items": lambda e: _categorised(e).select("order_id", "product_id", "category"),
     "export_roundtrip": _export_roundtrip,
+    **{f"published_{name}": _read_back(name) for name in (*PUBLISHED_STAGES, *PUBLISHED_EXPORTS)},
     # orders
     "filtered_orders": lambda e: e.delivered(),
     "identity_resolution": lambda e: orders.identity_resolution(e.delivered(), e.tables["customers"]),
@@ -240,6 +260,9 @@ QUERIES: dict[str, Query] = {
     "value_target": lambda e: weights.value_target(e.rfm()).select(PERSON, "high_value"),
     "rfm_weight_fit": _weight_fit,
     "rfm_weight_policy": _weight_policy,
+    "rfm_weight_policy_correlation": _weight_policy_correlation,
+    "rfm_weight_policy_cases": _weight_policy_cases,
+    "rfm_segments_derived": lambda e: e.with_options(score_weights=None).rfm(),
     # value
     "annualized_frequency": _annualized_frequency,
     "frequency_stats": lambda e: lifetime.frequency_stats(e.inputs()),
@@ -258,10 +281,13 @@ QUERIES: dict[str, Query] = {
     "bgnbd_loglik_grid": _grid,
     "bgnbd_fit": _fit,
     "prob_alive": _prob_alive,
-    "expected_purchases": _forecast,
+    "expected_purchases": _forecast(ILLUSTRATIVE_MODEL),
+    "expected_purchases_quick": _forecast(QUICK_MODEL),
+    "expected_purchases_histories": _forecast_histories,
     "expected_purchases_stats": _forecast_stats,
     "model_lifespan": _model_lifespan,
     "model_lifespan_stats": lambda e: lifetime.lifespan_stats(_model_inputs(e)),
+    "clv_scores_auto": _scores_auto,
     "clv_scores_model": lambda e: lifetime.clv_scores(_model_inputs(e)),
     # retention
     "current_state": lambda e: e.current(),

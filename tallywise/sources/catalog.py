@@ -18,6 +18,15 @@ class MissingInput(ValueError):
     """An input file, table or column is not there."""
 
 
+def fingerprint(spark: SparkSession, paths: Iterable[str]) -> str:
+    """Changes when an input file does; lists files, reads no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    row = files.agg(
+        F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))
+    ).first()
+    return f"{row[0]}:{row[1]}"
+
+
 def default_files(suffix: str = ".csv", prefix: str = "") -> dict[str, str]:
     return {table: f"{prefix}{table}{suffix}" for table in TABLES}
 
@@ -88,15 +97,21 @@ def read_parquet_tables(spark: SparkSession, raw_dir: str) -> dict[str, DataFram
 
 
 def register_views(tables: Mapping[str, DataFrame]) -> None:
-    """Make each table reachable from ``spark.sql`` under its name."""
+    """Make each table reachable from ``spark.sql`` under its name, in the whole session."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
 
 
 def run_sql(spark: SparkSession, text: str, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Run an SQL text against ``tables``, registered under their names."""
-    register_views(tables)
-    return spark.sql(text)
+    """Run an SQL query against ``tables`` under their names.
+
+    The names hold inside this query only: they are put in front of it as its own
+    expressions, so analyses over other inputs in the same session never see them.
+    """
+    bound = ", ".join(f"{name} AS (SELECT * FROM {{_table_{name}}})" for name in tables)
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    query = f"WITH {bound} SELECT * FROM ({escaped})" if tables else escaped
+    return spark.sql(query, **{f"_table_{name}": df for name, df in tables.items()})
 
 
 def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

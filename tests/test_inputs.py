@@ -14,6 +14,7 @@ from tallywise.sources.catalog import (
     run_sql,
     table_row_counts,
 )
+from tallywise.sources.publish import read_published
 
 FILES = {
     # Columns in another order than declared, and one nobody asked for.
@@ -162,10 +163,14 @@ def test_parquet_inputs_equal_csv_inputs(spark, tables, tmp_path):
 
 
 def test_whole_run_from_csv_to_published_tables(spark, raw_dir, tmp_path, capsys):
-    main([str(raw_dir), str(tmp_path), "--file", "sellers=sellers.csv"])
-    assert len(capsys.readouterr().out.splitlines()) == 10
-    detail = spark.read.option("header", True).csv(f"{tmp_path}/dashboard/01_customer_detail")
+    main([str(raw_dir), str(tmp_path), "--file", "sellers=sellers.csv", "--forecast"])
+    paths = dict(line.split(": ") for line in capsys.readouterr().out.splitlines())
+    assert len(paths) == 11
+    detail = spark.read.option("header", True).csv(paths["01_customer_detail"])
     assert detail.count() == 2 and len(detail.columns) == 21
-    roi = spark.read.parquet(f"{tmp_path}/retention_roi")
+    back = read_published(spark, str(tmp_path))
+    assert len(back) == 10 and back["01_customer_detail"].count() == 2
+    assert spark.read.parquet(paths["forecast"]).count() == 2
+    roi = back["retention_roi"]
     assert roi.count() == 5
     assert roi.filter(F.col("median_clv").isNull()).count() == 0

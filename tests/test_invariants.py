@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tallywise.operators import lifetime
 from tallywise.params import RETENTION_BUDGET
 from tallywise.plans.engine import Engine, engine_for
 from tallywise.plans.registry import QUERIES
@@ -60,6 +61,50 @@ def test_derived_weights_and_model_run_end_to_end(spark):
     assert methods == {"BG/NBD" if engine.repeat_model.converged else "empirical"}
 
 
+def test_the_plan_decides_on_the_lifespan(spark):
+    """The scalar in the plan picks one of two methods, row for row."""
+    rows = spark.range(3)
+    pick = lambda value: {
+        r["m"] for r in lifetime.chosen_inputs(
+            rows.withColumn("m", F.lit("empirical")), rows.withColumn("m", F.lit("model")),
+            spark.createDataFrame([(value,)], "v boolean").scalar(),
+        ).collect()
+    }
+    assert (pick(True), pick(False), pick(None)) == ({"model"}, {"empirical"}, {"empirical"})
+
+
+def test_later_applications_find_the_stages(spark, engine, tmp_path):
+    tables = engine.tables
+    first = Engine(tables, Stages(spark, str(tmp_path), source="inputs of one day"))
+    want = first.scores().count()
+    assert first.stages.built == ["customer_rollup", "rfm_segments_R0.4-F0.35-M0.25", "value_inputs_R0.4-F0.35-M0.25_empirical"]
+    again = Engine(tables, Stages(spark, str(tmp_path), source="inputs of one day"))
+    assert again.scores().count() == want and again.stages.built == []
+    other = Engine(tables, Stages(spark, str(tmp_path), source="inputs of the next day"))
+    other.rollup()
+    assert other.stages.built == ["customer_rollup"]
+
+
+def test_own_stages_can_be_removed(spark, tmp_path):
+    stages = Stages(spark, str(tmp_path))
+    stages.table("x", lambda: spark.range(3))
+    stages.close()
+    assert not os.path.exists(stages.path)
+    named = Stages(spark, str(tmp_path), source="s")
+    named.table("x", lambda: spark.range(3))
+    named.close()
+    assert os.path.exists(f"{named.path}/x/_SUCCESS")
+
+
+def test_half_written_stage_is_not_read(spark, tmp_path):
+    stages = Stages(spark, str(tmp_path))
+    (tmp_path / "tallywise").mkdir(exist_ok=True)
+    spark.range(9).write.parquet(f"{stages.path}/x")
+    os.remove(f"{stages.path}/x/_SUCCESS")
+    os.rename(f"{stages.path}/x", f"{stages.path}/_draft-1-x")
+    assert stages.table("x", lambda: spark.range(3)).count() == 3
+
+
 def test_unknown_lifespan_is_refused(engine):
     with pytest.raises(ValueError, match="lifespan"):
         Engine(engine.tables, engine.stages, lifespan="guess")
