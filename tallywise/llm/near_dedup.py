@@ -20,7 +20,8 @@
    both are already known to be connected or their sizes are too far apart. Between rounds
    labels move over two links only; components are followed to the end once, after the last. What is left are pairs across components: the
    lists in one component are skipped, in the others each member outside the list's
-   largest component meets the members of other components. Rounds of pivots are
+   largest component meets the members of other components, in the first list that both
+   hold only and if their signatures match. Rounds of pivots are
    repeated while that rest is large and shrinks. So a group of thousands of
    near copies costs a few comparisons per member, and yet every matching pair is
    either compared or inside one component.
@@ -330,17 +331,21 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             last = rest
             continue
         if rest:
-            now = now.join(shared, "node")
+            now = now.join(shared, "node").join(partners.select("node", "pairs", "prefix"), "node")
             outside = now.join(per_list, "pair").where("comp <> largest").select(
                 "pair", "largest", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
-                F.col("least").alias("a_least"), F.col("most").alias("a_most"), F.col("parts").alias("a_parts"))
+                F.col("least").alias("a_least"), F.col("most").alias("a_most"), F.col("parts").alias("a_parts"),
+                F.col("pairs").alias("a_pairs"), F.col("prefix").alias("a_prefix"))
             common = "aggregate(zip_with(a_parts, parts, (x, y) -> least(x, y)), 0L, (x, y) -> x + y)"
             across = (
                 outside.join(now.withColumnRenamed("node", "b"), "pair").where("comp <> a_comp")
                 .where("comp = largest OR a < b")  # of two outside, once
                 .where(may_match("a_least", "a_most", "least", "most"))
+                # Two members meet in every list that both hold and come out in the first of them only.
+                .where("array_min(array_intersect(a_prefix, prefix)) = pair")
+                .where(f"size(array_intersect(a_pairs, pairs)) >= {MATCHES}")
                 .where(f"100 * {common} >= {shingle_percent} * (a_least + least - {common})")
-                .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n"))
+                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(MATCHES).alias("n"))
             )
             linked.append(scratch.save(confirm(across), "links"))
         break
