@@ -21,12 +21,14 @@ Empty input gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,9 @@ REMEMBERED = 600_000
 #: Bytes of text that are looked up at once.
 PORTION = 4 << 20
 
+#: Joins words for the tokeniser, and words joined to one line.
+JOINT, LINE = "1", 1000
+
 _NUMBER = np.dtype("<u4")
 
 
@@ -52,35 +57,81 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class WordTokens:
-    """Little-endian 32-bit ids of whole texts, as bytes."""
+    """Ids of whole texts; words are looked up by number in one array of ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        parts = [text.split() for text in texts]  # at ASCII white space
-        new = list(set().union(*parts).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*parts))
-        encoded = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        self.known.update((p, np.array(e.ids, _NUMBER).tobytes()) for p, e in zip(new, encoded, strict=True))
+        (self.joint,) = self.tokenizer.encode(JOINT, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        """Word 0 is the end of a text."""
+        self.known: dict[str, int] = {}
+        self.ids = np.array([END_ID], _NUMBER)
+        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words, of which new ones are tokenised."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.forget()
         known = self.known
-        return [b"".join([known[p] for p in own]) for own in parts]
-
-    def in_portions(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; some megabytes of text are looked up at once."""
+        new = [w for w in words if w not in known]
+        if new:
+            ids, lengths = self.tokenised(new)
+            known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
+            self.lengths = np.append(self.lengths, lengths)
+            self.ids = np.append(self.ids, ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def tokenised(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after the other, and how many each has.
+
+        Digits are tokens of their own in this vocabulary, so words without the digit 1 are
+        handed over in lines that it joins, and its id parts their ids again.
+        """
+        joint = [w for w in words if JOINT not in w]
+        lines = [joint[i : i + LINE] for i in range(0, len(joint), LINE)]
+        single = [w for w in words if JOINT in w]
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = lambda parts: np.fromiter(itertools.chain.from_iterable(parts), _NUMBER)
+        encoded = flat([*i, self.joint] for i in encode([JOINT.join(x) for x in lines]))
+        at = np.flatnonzero(encoded == self.joint)
+        assert len(at) == len(joint)
+        own = encode(single)
+        ids = np.concatenate([np.delete(encoded, at), flat(own)])
+        parts = np.concatenate([np.diff(at, prepend=-1) - 1, np.fromiter(map(len, own), np.int64, len(own))])
+        # Back in the order of the words.
+        apart = np.fromiter((JOINT in w for w in words), bool, len(words))
+        order = np.argsort(np.argsort(apart, kind="stable"), kind="stable")
+        lengths, first = parts[order], (np.cumsum(parts) - parts)[order]
+        stop = np.cumsum(lengths)
+        return ids[np.arange(len(ids)) + np.repeat(first - (stop - lengths), lengths)], lengths
+
+    def in_portions(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts one after the other, each with its end; where each text starts and the last ends)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
-            end, size = at + 1, len(texts[at])
-            while end < len(texts) and size + len(texts[end]) <= PORTION:
-                size += len(texts[end])
-                end += 1
-            yield from self.ids(texts[at:end])
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PORTION, "right")))
+            words = pc.ascii_split_whitespace(texts.slice(at, end - at))
+            per_text = words.value_lengths().to_numpy()
+            coded = words.flatten().dictionary_encode()
+            number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            # An end behind the words of every text.
+            ends = np.cumsum(per_text + 1) - 1
+            all_words = np.zeros(len(number) + len(ends), np.int64)
+            inside = np.ones(len(all_words), bool)
+            inside[ends] = False
+            all_words[inside] = number
+            length = self.lengths[all_words]
+            stop = np.cumsum(length)
+            place = np.arange(stop[-1]) + np.repeat(self.starts[all_words] - (stop - length), length)
+            yield self.ids[place], np.concatenate([[0], stop[ends]])
             at = end
 
 
@@ -89,20 +140,20 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(path or vocabulary_path())
-        end = np.array([END_ID], _NUMBER).tobytes()
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        width = capacity * _NUMBER.itemsize
         for batch in batches:
+            doc, ids = 0, batch.column(0).to_pylist()
             rows: list[tuple] = []
-            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.in_portions(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    n = len(part) // _NUMBER.itemsize
-                    rows.append((doc_id, piece, piece * capacity, n, zlib.crc32(part), task, seen[n]))
-                    seen[n] += 1
+            for found, edges in tokens.in_portions(batch.column(1)):
+                view = memoryview(found).cast("B")
+                for a, b in itertools.pairwise(edges.tolist()):
+                    for piece, start in enumerate(range(a, b, capacity)):
+                        n = min(capacity, b - start)
+                        crc = zlib.crc32(view[start * _NUMBER.itemsize : (start + n) * _NUMBER.itemsize])
+                        rows.append((ids[doc], piece, start - a, n, crc, task, seen[n]))
+                        seen[n] += 1
+                    doc += 1
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,8 +26,11 @@ def plain_ids(text):
 @given(st.lists(st.text(alphabet=st.sampled_from("aBé漢'sl1.,\n\t\x0b\x1c\x85 ́ <|endoftext|>® "), max_size=40), max_size=5))
 def test_words_have_the_tokens_of_the_whole_text(texts):
     tokens = packing.WordTokens(packing.vocabulary_path())
-    got = list(tokens.in_portions([t.encode() for t in texts]))
-    assert [np.frombuffer(g, "<u4").tolist() + [0] for g in got] == [plain_ids(t) for t in texts]
+    got = [
+        ids[a:b].tolist() for ids, edges in tokens.in_portions(pa.array(texts, pa.string()))
+        for a, b in itertools.pairwise(edges.tolist())
+    ]
+    assert got == [plain_ids(t) for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
