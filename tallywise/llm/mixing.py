@@ -10,11 +10,13 @@ The budget defaults to the least number of tokens that gives every document at l
 one pass. Weights are realised as budgeted block permutations: the documents of a
 source fall into at most ``BLOCKS`` blocks by hash, each pass goes through all blocks in
 an order of its own, and the last pass ends with the block that comes closest to the
-source's share of the budget. ``order_key`` in 0..1 is the place in the mixture: sorted by
+source's share of the budget. ``mix_order`` in 0..1 is the place in the mixture: sorted by
 it, all sources advance at the pace of their weights.
 
-A hot source is only ever summed up (map-side first), its documents stay in
-their tasks; the window runs over blocks, at most ``BLOCKS`` per source and pass.
+A hot source is only ever summed up (map-side first); the window runs over blocks, at
+most ``BLOCKS`` per source and pass. The plan of taken blocks is broadcast to the documents,
+which then stay in their tasks, if it has at most ``SMALL`` rows; a larger one, of thousands
+of sources, is joined, where Spark splits blocks that are too full.
 
 Tokens are white-space words plus one, so that an empty or null text has one. A null
 source is a source of its own. Repeated rows fall into one block and are kept. Empty
@@ -31,6 +33,8 @@ from .common import Scratch
 
 BLOCKS = 1024
 PROBES = 32
+#: Rows of a plan that is broadcast, some megabytes.
+SMALL = 1 << 17
 ENTROPY = 0.95
 MAX_PASSES = 2.0
 SEED = 11
@@ -133,8 +137,10 @@ def mix(
     taken = placed.groupBy("__mix_source", "mix_block").agg(
         F.sort_array(F.collect_list(F.struct("mix_pass", "mix_order"))).alias("__mix_taken")
     )
+    if placed.count() <= SMALL:
+        taken = F.broadcast(taken)
     return (
-        base.join(taken.hint("shuffle_hash"), ["__mix_source", "mix_block"])
+        base.join(taken, ["__mix_source", "mix_block"])
         .select(*docs.drop(*added).columns, "mix_tokens", "mix_block", F.explode("__mix_taken").alias("__mix_row"))
         .select("*", "__mix_row.mix_pass", "__mix_row.mix_order").drop("__mix_row")
     )

@@ -186,9 +186,10 @@ def judge(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
     """``docs`` without the rows whose text is rejected, all columns unchanged."""
+    gone_id, gone_hash = (f"{n}{'_' * max(map(len, docs.columns))}" for n in ("id", "hash"))  # names that docs has not
     rejected = judge(docs, labels, **risk).where("NOT kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
     text = F.col("text").cast("string")
     return docs.join(
-        rejected, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti"
+        rejected, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_hash)), "left_anti"
     )

@@ -37,7 +37,7 @@ def clashing():
     """Adds columns whose names the operators use themselves."""
 
     def add(df):
-        for name in ("score", "piece", "node", "pairs", "stratum", "words", "arc", "rank", "block", "fold", "t", "_source", "n", "kept"):
+        for name in ("score", "piece", "node", "pairs", "stratum", "words", "arc", "rank", "block", "fold", "t", "_source", "n", "kept", "_id", "_hash", "h", "bytes", "copies"):
             if name not in df.columns:
                 df = df.withColumn(name, F.lit("extra"))
         return df
