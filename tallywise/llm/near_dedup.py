@@ -331,18 +331,21 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             last = rest
             continue
         if rest:
-            now = now.join(shared, "node").join(partners.select("node", "pairs", "prefix"), "node")
+            # Wide columns only for members of the lists that are left.
+            now = now.join(per_list.select("pair"), "pair", "left_semi")
+            now = now.join(shared, "node").join(partners.select("node", "pairs"), "node")
             outside = now.join(per_list, "pair").where("comp <> largest").select(
                 "pair", "largest", F.col("node").alias("a"), F.col("comp").alias("a_comp"),
                 F.col("least").alias("a_least"), F.col("most").alias("a_most"), F.col("parts").alias("a_parts"),
-                F.col("pairs").alias("a_pairs"), F.col("prefix").alias("a_prefix"))
+                F.col("pairs").alias("a_pairs"))
+            prefixes = (f"slice({p}, 1, size({p}) - {MATCHES} + 1)" for p in ("a_pairs", "pairs"))
             common = "aggregate(zip_with(a_parts, parts, (x, y) -> least(x, y)), 0L, (x, y) -> x + y)"
             across = (
                 outside.join(now.withColumnRenamed("node", "b"), "pair").where("comp <> a_comp")
                 .where("comp = largest OR a < b")  # of two outside, once
                 .where(may_match("a_least", "a_most", "least", "most"))
                 # Two members meet in every list that both hold and come out in the first of them only.
-                .where("array_min(array_intersect(a_prefix, prefix)) = pair")
+                .where(f"array_min(array_intersect({', '.join(prefixes)})) = pair")
                 .where(f"size(array_intersect(a_pairs, pairs)) >= {MATCHES}")
                 .where(f"100 * {common} >= {shingle_percent} * (a_least + least - {common})")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(MATCHES).alias("n"))
