@@ -1,7 +1,7 @@
 """Main text of web pages by tree scoring.
 
 The markup is read into a tree of block elements; inline elements only mark text as
-link text. Every paragraph passes points to its ancestors: one, one per comma and up to
+link text. Every paragraph, and text directly in the body or a like container, passes points to its ancestors: one, one per comma and up to
 three for its length, in full to the parent, half to the grandparent, a third of that
 and so on further up. Points of a container are discounted by its link density. The best
 container stands for its enclosing article or main element, if it has one, which is kept
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,6 +43,8 @@ BLOCKS = frozenset(
     "caption figure figcaption h1 h2 h3 h4 h5 h6 header address details summary center hr fieldset".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td dd li div section article main h1 h2 h3 h4 h5 h6".split())
+#: Containers whose own text counts as a paragraph, too.
+LOOSE = frozenset("html body center fieldset details".split())
 #: Those of them that hold texts of others, which may be longer than the main text.
 OTHERS = frozenset("comment comments disqus respond replies related recommended".split())
 #: Never left out for their names.
@@ -106,6 +109,8 @@ def _around(attributes: str) -> int:
 def read(page: str) -> Tree:
     tree = Tree()
     open_nodes = [0]
+    # Open elements by name: all of them, and from each open scope on up to the next.
+    total, scopes = Counter(["html"]), [Counter(["html"])]
     text: list[str] = []
     state = {"links": 0, "in_link": 0}
 
@@ -122,6 +127,12 @@ def read(page: str) -> Tree:
 
     def close(depth: int) -> None:
         flush()
+        for node in reversed(open_nodes[depth:]):
+            gone = tree.tag[node]
+            total[gone] -= 1
+            scopes[-1][gone] -= 1
+            if gone in SCOPE or gone in DROPPED:
+                scopes.pop()
         del open_nodes[depth:]
 
     position, size = 0, len(page)
@@ -147,6 +158,8 @@ def read(page: str) -> Tree:
             text.append(" ")
         elif tag in BLOCKS or tag in DROPPED:
             if ending:
+                if not total[tag] or tag == "html":
+                    continue
                 for depth in range(len(open_nodes) - 1, 0, -1):
                     if tree.tag[open_nodes[depth]] == tag:
                         close(depth)
@@ -155,7 +168,8 @@ def read(page: str) -> Tree:
             flush()
             if tag in VOID:
                 continue
-            if tag in BLOCKS and tag not in ("li", "td", "th", "tr", "dt", "dd") or tag in ENDS:
+            ends = any(scopes[-1][x] for x in ("p", *ENDS.get(tag, ())))  # else nothing to look for
+            if ends and (tag in BLOCKS and tag not in ("li", "td", "th", "tr", "dt", "dd") or tag in ENDS):
                 # A block ends an open paragraph; list items and cells end their like.
                 for depth in range(len(open_nodes) - 1, 0, -1):
                     now = tree.tag[open_nodes[depth]]
@@ -166,19 +180,23 @@ def read(page: str) -> Tree:
                     elif now in SCOPE or now in DROPPED:
                         break
             parent = open_nodes[-1]
-            inside = any(tree.tag[n] in ("article", "main") for n in open_nodes)
+            inside = total["article"] or total["main"]
             named = _around(found[3] or found[6] or "")
             mark = 2 if tag in DROPPED and tag != "form" or tag == "header" and not inside else 0
             if not mark and (tag == "form" or named and tag not in WHOLE):
                 mark = 1
             open_nodes.append(tree.add(parent, tag, mark, named))
+            total[tag] += 1
+            if tag in SCOPE or tag in DROPPED:
+                scopes.append(Counter())
+            scopes[-1][tag] += 1
     flush()
     settle(tree)
     return tree
 
 
 def _gain(tree: Tree, node: int, block: str) -> float:
-    if tree.tag[node] not in PARAGRAPHS:
+    if tree.tag[node] not in PARAGRAPHS and tree.tag[node] not in LOOSE:
         return 0.0
     return (1 + block.count(",") + min(len(block) / 100, 3)) * (1 - tree.links[node] / max(tree.length[node], 1))
 
@@ -224,10 +242,11 @@ def choose(tree: Tree) -> set[int]:
         length[tree.parent[node]] += length[node]
         links[tree.parent[node]] += links[node]
     for node, block in tree.blocks:
-        if tree.tag[node] in PARAGRAPHS:
-            gain = _gain(tree, node, block)
+        gain = _gain(tree, node, block)
+        if gain:
             # The block's own element if it holds others too, else its parent, gets the full points.
-            up, share = (node, 1.0) if tree.tag[node] in ("div", "section", "article", "main") else (tree.parent[node], 1.0)
+            holds = tree.tag[node] in LOOSE or tree.tag[node] in ("div", "section", "article", "main")
+            up, share = (node, 1.0) if holds else (tree.parent[node], 1.0)
             level = 1
             while up >= 0 and share > 0.01:
                 tree.points[up] += gain * share
