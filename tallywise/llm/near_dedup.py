@@ -242,7 +242,7 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     )
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose signatures match and whose full sets are similar enough.
+        """The links among the pairs (a, b): those whose signatures match and whose full sets are similar enough.
 
         ``n`` collisions of a pair are counted already, outside the prefixes there may be more.
         """
@@ -264,9 +264,11 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             matching.join(brief_a, "a").join(brief_b, "b").withColumn("common", common).where(enough).select("a", "b"),
             "likely",
         )
-        return (
-            likely.join(left, "a").join(right, "b").withColumn("common", common).where(enough).select("a", "b")
+        links = scratch.save(
+            likely.join(left, "a").join(right, "b").withColumn("common", common).where(enough).select("a", "b"), "links"
         )
+        scratch.drop(pairs, likely)
+        return links
 
     def may_match(least_a: str, most_a: str, least_b: str, most_b: str) -> Column:
         """Sets of these sizes with at most so many elements in common with others can be similar enough."""
@@ -290,8 +292,10 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
         both = scratch.save(one_way.unionAll(one_way.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))), "hops")
         near = both.groupBy("ca").agg(F.least(F.min("cb"), F.col("ca")).alias("low")).toDF("cb", "low")
         lower = both.join(near, "cb").groupBy(F.col("ca").alias("comp")).agg(F.min("low").alias("low"))
-        return scratch.save(
+        after = scratch.save(
             labels.join(lower, "comp", "left").select("node", F.coalesce("low", "comp").alias("comp")), "labels")
+        scratch.drop(both, labels)
+        return after
 
     labels = scratch.save(lists.select("node", F.col("node").alias("comp")).distinct(), "labels")
     at = lists.withColumn("comp", F.col("node"))
@@ -313,13 +317,15 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
             .groupBy(F.col("node").alias("a"), F.col("p.node").alias("b")).agg(F.count("*").alias("n"))
             .withColumn("nth", F.row_number().over(most)).where(F.col("nth") <= PIVOTS)  # of COORDINATES * LEADERS
         )
-        found = scratch.save(confirm(meets), "links")
+        found = confirm(meets)
         linked.append(found)
         gained = found.limit(1).count()
         now = at
         if gained:
             labels = relabel(united(linked), labels)
             now = scratch.save(lists.join(labels, "node"), "round")
+            if turn > 1:
+                scratch.drop(at)
         # What is left: members outside the largest component of their list.
         by_comp = now.groupBy("pair", "comp").agg(F.count("*").alias("n"))
         per_list = by_comp.groupBy("pair").agg(
@@ -350,9 +356,11 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
                 .where(f"100 * {common} >= {shingle_percent} * (a_least + least - {common})")
                 .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(MATCHES).alias("n"))
             )
-            linked.append(scratch.save(confirm(across), "links"))
+            linked.append(confirm(across))
         break
 
+    # Nothing below reads them; with ``linked`` and ``labels`` the links are known.
+    scratch.drop(sets, alone, partners, lists)
     result = classes
     if linked:
         # Labels stand for their nodes, so few links are left to follow.
