@@ -9,11 +9,13 @@ the held-out data, and the maximum-likelihood estimates come from the other fold
 Scoring then uses the counts of all training documents with these weights.
 
 Counts cover all training documents and grow with them. They are made by numpy on
-packed arrays, moved and partitioned by Spark: a block (some thousand rows) sends
-its distinct n-gram hashes with their counts to ``parts`` shares of the hash range; each
-share adds them up and answers every block with the totals in the order asked. So every
-distinct n-gram of a block crosses the network once each way, a frequent one is no more than
-one entry per block, and no task holds more than a share or a block.
+packed arrays, moved and partitioned by Spark: a block (at most ``BLOCK_ROWS`` rows and
+about ``BLOCK_BYTES``, or one longer text) sends its distinct n-gram hashes with their counts
+to ``parts`` shares of the hash range; each share adds them up and answers every block with
+the totals in the order asked. So every distinct n-gram of a block crosses the network once
+each way, a frequent one is no more than one entry per block, and no task holds more than a
+share or a block. Shares without an n-gram of a block get no row, so
+there are never more rows than distinct n-grams of blocks, which grow with the input.
 
 The texts are written once, with a number per row and block. How later jobs split that table
 may change from job to job with the cores at hand, so a block can be read in several pieces:
@@ -21,6 +23,8 @@ each piece asks for itself under the number of its first row, and the answers ar
 by these saved numbers. Answers that are not for the very hashes of a piece stop the job. Expectation-
 maximisation needs a histogram only: the weights depend on the ratio of the two
 estimates to the uniform one, which are kept per bucket in bins of a quarter of a power of two.
+The bins reach as far as 64-bit counts do, so no ratio is clipped. Its rounds end when they no
+longer gain.
 
 Tokens are white-space words with A-Z in lower case, then one end per text, which is
 also the context of the first token. Words are represented by 64-bit hashes.
@@ -36,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +48,14 @@ from .common import Scratch, pick
 from .textscan import LOWER, mix, slices, word_hashes, words
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 5
-BUCKETS = 24
-#: Ratios of the estimates are kept from 2^-8 to 2^40 in bins of a quarter, bin 0 is for no count.
-BINS_PER_TWO, LEAST, MOST = 4, -8, 40
+BUCKETS = 64
+#: Ratios of the estimates are kept from 2^-64 to 2^64 in bins of a quarter, bin 0 is for no count.
+BINS_PER_TWO, LEAST, MOST = 4, -64, 64
 BINS = (MOST - LEAST) * BINS_PER_TWO + 1
-ROUNDS = 60
-#: Rows of a block.
-BLOCK_ROWS = 4096
+#: Expectation-maximisation ends when a round gains less, in nats a token.
+GAIN = 1e-9
+#: Rows and bytes of a block; a longer text is a block of its own.
+BLOCK_ROWS, BLOCK_BYTES = 4096, 16 << 20
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _CONTEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -268,19 +274,24 @@ def _held_out_counts(kept_words: int, kept_tokens: int):
     return run
 
 
-def maximise(pair_bin: np.ndarray, word_bin: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def maximise(pair_bin: np.ndarray, word_bin: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Weights of the pair, word and uniform estimate by expectation-maximisation."""
     if not len(n) or not n.sum():
         return np.array([0.5, 0.4, 0.1])
     middle = lambda b: np.where(b > 0, 2.0 ** (LEAST + (b - 0.5) / BINS_PER_TWO), 0.0)
     ratio = np.stack([middle(pair_bin), middle(word_bin), np.ones(len(n))], 1)
     m = np.array([0.4, 0.4, 0.2])
-    for _ in range(rounds):
+    before = -np.inf
+    while True:
         share = m * ratio
-        m = ((share / share.sum(1, keepdims=True)) * n[:, None]).sum(0) / n.sum()
+        p = share.sum(1, keepdims=True)
+        now = float((np.log(p[:, 0]) * n).sum() / n.sum())
+        if now - before < GAIN:
+            return m
+        before = now
+        m = ((share / p) * n[:, None]).sum(0) / n.sum()
         m = np.maximum(m, 1e-6)
         m /= m.sum()
-    return m
 
 
 def _scores(weights: np.ndarray, n_words: int, n_tokens: int):
@@ -318,21 +329,41 @@ def _scores(weights: np.ndarray, n_words: int, n_tokens: int):
     return run
 
 
+def _number(most_rows: int, most_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``row, doc_id, text, fold`` with the block, which is named by its first row."""
+        block, rows, size = 0, 0, 0
+        for batch in batches:
+            names = []
+            lengths = pc.fill_null(pc.binary_length(batch.column(2)), 0)
+            for number, n in zip(batch.column(0).to_pylist(), lengths.to_pylist(), strict=True):
+                if not rows or rows == most_rows or size + n > most_bytes:
+                    block, rows, size = number, 0, 0
+                rows, size = rows + 1, size + n
+                names.append(block)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.int64()), *batch.columns[1:]], names=["row", "block", "doc_id", "text", "fold"])
+
+    return run
+
+
 def _blocks(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """``row, block, doc_id, text, fold``, written once: rows and blocks keep their numbers however they are read."""
-    rows = pick(docs, {"doc_id": "long", "text": "string"}).withColumn("row", F.monotonically_increasing_id())
-    # A partition's numbers start at a multiple of 2^33, so no block has rows of two partitions.
-    return scratch.save(rows.select(
-        "row", F.expr(f"row div {BLOCK_ROWS}").alias("block"), "doc_id", "text",
+    rows = pick(docs, {"doc_id": "long", "text": "string"}).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text",
         F.expr(f"CAST(pmod(crc32(coalesce(CAST(doc_id AS STRING), '')), {FOLDS}) AS INT)").alias("fold"),
-    ), "texts", compression="zstd")
+    )
+    # A task numbers its own rows, so no block has rows of two files.
+    numbered = rows.mapInArrow(_number(BLOCK_ROWS, BLOCK_BYTES), "row long, block long, doc_id long, text string, fold int")
+    return scratch.save(numbered, "texts", compression="zstd")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
     scratch = Scratch(docs.sparkSession, "lm")
     texts = _blocks(scratch, docs)
-    parts = max(1, texts.select("block").distinct().count() // 2)
+    size = texts.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    parts = 1 + size // BLOCK_BYTES
     answers = scratch.save(
         texts.mapInArrow(_ask(parts), ASK).groupBy("share", "kind").applyInArrow(_answer, ANSWER), "answers"
     )
@@ -345,7 +376,7 @@ def score(docs: DataFrame) -> DataFrame:
         .applyInArrow(_held_out_counts(facts.kept_words, facts.kept_tokens), "bucket int, pair_bin int, word_bin int, n long")
         .groupBy("bucket", "pair_bin", "word_bin").agg(F.sum("n").alias("n"))
     )
-    cells = histogram.toArrow()  # at most BUCKETS * BINS * BINS rows
+    cells = histogram.toArrow()  # at most BUCKETS * BINS * BINS rows, whatever the input; those that occur are far fewer
     bucket, pair_bin, word_bin, n = (cells.column(c).to_numpy() for c in ("bucket", "pair_bin", "word_bin", "n"))
     weights = np.array([
         maximise(pair_bin[bucket == b], word_bin[bucket == b], n[bucket == b]) for b in range(BUCKETS)

@@ -7,6 +7,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallywise.llm import language_model, main_text, quality_rules, toxicity
@@ -78,6 +80,82 @@ def test_language_model(docs, odd, clashing):
     assert language_model.score(docs([])).count() == 0
 
 
+def plain_model(rows, bins):
+    """Scores by dictionaries: counts, expectation-maximisation and interpolation, one token at a time."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    token = lambda t: [w.lower() for w in plain_words(t)] + [None]
+    bigrams = lambda t: list(zip([None, *token(t)], token(t), strict=False))
+    bucket = lambda c: c.bit_length()
+
+    def counted(folds):
+        texts = [t for i, t in rows if fold(i) in folds]
+        return Counter(w for t in texts for w in token(t)), Counter(g for t in texts for g in bigrams(t))
+
+    def coarse(ratio):
+        return 2 ** ((math.floor(bins * math.log2(ratio)) + 0.5) / bins) if ratio and bins else ratio
+
+    one, two = counted({0, 1, 3, 4, 6})
+    n, v, seen = sum(one.values()), len(one), {}
+    for v_, w in (g for i, t in rows if fold(i) == 5 for g in bigrams(t)):
+        pair = coarse(two[v_, w] / max(one[v_], 1) * (v + 1))
+        seen.setdefault(bucket(one[v_]), []).append((pair, coarse(one[w] / n * (v + 1)), 1.0))
+    weights = {}
+    for b, tokens in seen.items():
+        m, before = (0.4, 0.4, 0.2), -math.inf
+        while True:
+            p = [sum(x * y for x, y in zip(m, t, strict=True)) for t in tokens]
+            now = sum(map(math.log, p)) / len(p)
+            if now - before < language_model.GAIN:
+                break
+            before = now
+            m = [max(sum(m[k] * t[k] / q for t, q in zip(tokens, p, strict=True)) / len(p), 1e-6) for k in range(3)]
+            m = [x / sum(m) for x in m]
+        weights[b] = m
+    one, two = counted({0, 1, 3, 4, 5, 6})
+    n, v = sum(one.values()), len(one)
+
+    def probability(v_, w):
+        m2, m1, m0 = weights.get(bucket(one[v_]), (0.5, 0.4, 0.1))
+        lower = m1 * one[w] / n + m0 / (v + 1)
+        return m2 * two[v_, w] / one[v_] + lower if one[v_] else lower / (m1 + m0)
+
+    return {i: sum(math.log10(probability(*g)) for g in bigrams(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("vocabulary", [30, 3000])
+def test_language_model_against_plain_python(docs, vocabulary):
+    rng = random.Random(vocabulary)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.6)), vocabulary)}" for _ in range(rng.randrange(120)))) for i in range(250)]
+    got = {r.doc_id: r.score for r in language_model.score(docs(rows).repartition(4)).collect()}
+    assert got == pytest.approx(plain_model(rows, language_model.BINS_PER_TWO), rel=1e-6)
+    # Ratios in bins of a quarter of a power of two change little.
+    unbinned = plain_model(rows, None)
+    assert sum(got.values()) == pytest.approx(sum(unbinned.values()), rel=2e-3) and got == pytest.approx(unbinned, rel=0.05)
+
+
+def test_rare_words_of_a_large_corpus_keep_their_ratio():
+    ratio = 2.0 ** -np.arange(1, 50)
+    assert len(set(language_model._bin(ratio).tolist())) == 49
+    # A word with a ratio of 2^-13 to the uniform estimate is better told by the latter.
+    rare = language_model.maximise(np.zeros(1, int), language_model._bin(np.array([2.0**-13])), np.array([100]))
+    assert rare[2] > 0.99
+
+
+@pytest.mark.parametrize(("rows", "size"), [(3, 1 << 20), (4096, 500)])
+def test_language_model_in_many_blocks(docs, odd, monkeypatch, rows, size):
+    texts = [*odd, *((100 + i, "few words here " * (i % 40)) for i in range(60))]
+    whole = {r.doc_id: r for r in language_model.score(docs(texts).coalesce(2)).collect()}
+    monkeypatch.setattr(language_model, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", size)
+    batch = pa.RecordBatch.from_pylist([{"row": i, "doc_id": d, "text": t, "fold": 0} for i, (d, t, *_) in enumerate(texts)])
+    blocks = next(language_model._number(rows, size)(iter([batch])))
+    for name in set(blocks.column("block").to_pylist()):
+        mine = [t for b, t in zip(blocks.column("block").to_pylist(), blocks.column("text").to_pylist(), strict=True) if b == name]
+        assert len(mine) == 1 or len(mine) <= rows and sum(len((t or "").encode()) for t in mine) <= size
+    for r in language_model.score(docs(texts).coalesce(2)).collect():
+        assert r[:5] == whole[r.doc_id][:5] and r[5:] == pytest.approx(whole[r.doc_id][5:])
+
+
 def test_language_model_whatever_the_splits(spark, docs, tmp_path, monkeypatch):
     """Every job may split the texts elsewhere, as when executors come or go between the jobs."""
     rng = random.Random(5)
