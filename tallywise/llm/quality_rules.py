@@ -63,17 +63,18 @@ END
 """
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """One row per document: the counts, the rates and the base verdict."""
-    df = pick(docs, {"doc_id": "long", "text": "string", "lang": "string"})
+def counts(docs: DataFrame, carried: str | None = None) -> DataFrame:
+    """One row per document: the counts, the rates and the base verdict; ``carried`` is handed on as it is."""
+    also = {carried: docs.schema[carried].dataType} if carried else {}
+    df = pick(docs, {"doc_id": "long", "text": "string", "lang": "string", **also})
     df = df.select(
-        "doc_id",
+        *also, "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.coalesce("lang", F.lit("")).alias("stratum"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     df = df.select(
-        "doc_id", "text_hash", "stratum",
+        *also, "doc_id", "text_hash", "stratum",
         F.expr(r"array_remove(split(text, '[\\x20\\x09-\\x0D]+'), '')").alias("words"),
         F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
         F.expr("CAST(regexp_count(text, '[#*$%&|<>]') AS LONG)").alias("n_symbols"),
@@ -81,7 +82,7 @@ def counts(docs: DataFrame) -> DataFrame:
         F.expr("CAST(regexp_count(text, '!') AS LONG)").alias("n_shouts"),
     )
     df = df.select(
-        "doc_id", "text_hash", "stratum", "n_symbols", "n_capitals", "n_shouts",
+        *also, "doc_id", "text_hash", "stratum", "n_symbols", "n_capitals", "n_shouts",
         F.expr("CAST(size(words) AS LONG)").alias("n_words"),
         F.expr("CAST(length(array_join(words, '')) AS LONG)").alias("word_chars"),
         F.expr("CAST(size(lines) AS LONG)").alias("n_lines"),
@@ -164,10 +165,10 @@ def cutoffs(
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, carried: str | None = None, **risk: float) -> DataFrame:
     """Per document the counts, ``base_failed``, the rules broken and ``kept``."""
     scratch = Scratch(docs.sparkSession, "quality")
-    counted = scratch.save(counts(docs), "counts")
+    counted = scratch.save(counts(docs, carried), "counts")
     limits = cutoffs(counted, labels, **risk)
     wide = limits.groupBy("stratum").agg(*(
         F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"most_{k}") for k in RULES
@@ -185,11 +186,12 @@ def judge(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
-    """``docs`` without the rows whose text is rejected, all columns unchanged."""
-    gone_id, gone_hash = (f"{n}{'_' * max(map(len, docs.columns))}" for n in ("id", "hash"))  # names that docs has not
-    rejected = judge(docs, labels, **risk).where("NOT kept").select(
-        F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct()
-    text = F.col("text").cast("string")
-    return docs.join(
-        rejected, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_hash)), "left_anti"
-    )
+    """``docs`` without the rows that are rejected, all columns unchanged.
+
+    Rows go through the verdict whole, so texts are not joined or shuffled.
+    """
+    names = docs.columns
+    row = "row" + "_" * max(map(len, names))  # a name that docs has not
+    whole = docs.withColumn(row, F.struct(*(F.col(f"`{c}`") for c in names)))
+    kept = judge(whole, labels, carried=row, **risk).where("kept")
+    return kept.select(*(F.col(row)[c].alias(c) for c in names))
