@@ -187,6 +187,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """The ids of more than one row; usually there are none, and then nothing needs a shuffle to make rows unique."""
+    return rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+
+
 def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
@@ -222,7 +227,9 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     scratch.drop(posted)
     # Full sets of the representatives that have a partner to be compared with.
     sets = docs.join(partners.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>, parts array<int>").dropDuplicates(["node"])
+    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>, parts array<int>")
+    if not repeated_ids(signed).isEmpty():
+        sets = sets.dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
     # A set cannot have more in common with another than the shingles that some other set holds.
     alone = (
@@ -383,8 +390,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     linked = Scratch(docs.sparkSession, "near").save(link(docs), "linked")
     gone = linked.where("NOT kept").select("doc_id").distinct()
     rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    # Rows that share an id are one document; usually there are none.
-    repeated = linked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # Rows that share an id are one document.
+    repeated = repeated_ids(linked)
+    if repeated.isEmpty():
+        return rest
     single = rest.join(repeated, "doc_id", "left_anti").select(docs.columns)
     again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return single.unionAll(again)
