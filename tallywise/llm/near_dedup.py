@@ -33,6 +33,10 @@
 with a probability of about 1.4e-7, and far less above it. Before the full sets of a pair are brought
 together, the sizes and the lowest 16 bits of all shingles rule out what cannot pass.
 
+Whole texts are read again twice, to pick the ones with a partner and the ones that stay.
+Ids hashed to at most ``BITS`` bits tell first which rows can be concerned, so that the
+other texts are not shuffled for it; then ids are joined exactly.
+
 Null or empty texts and texts without words have no set and are linked with nothing.
 Rows of a null id are returned as their own (``component_id`` null, kept). Rows that
 share an id count as one document. Empty input gives an empty result.
@@ -63,6 +67,8 @@ PARTS = 32
 #: Pivots that a list names in one round, and pivots that a member is compared with.
 LEADERS = 4
 PIVOTS = 8
+#: Bits that tell which ids can be among others, broadcast in at most ``BITS`` / 64 rows.
+BITS = 1 << 24
 
 _WORD = factors(SHINGLE, 21)
 _XOR, _MULTIPLY = factors(COORDINATES * MINIMA, 22), factors(COORDINATES * MINIMA, 23)
@@ -192,6 +198,31 @@ def repeated_ids(rows: DataFrame) -> DataFrame:
     return rows.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
 
 
+def told_apart(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` whose ``doc_id`` can be among ``ids``, and those whose surely is not."""
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    bits = ids.select(hashed.alias("h")).groupBy(F.expr(f"pmod(h, {BITS}) div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(pmod(h, 64) AS INT))")).alias("bits"))
+    own = F.xxhash64(docs["doc_id"].cast("long"))
+    word = F.floor(F.pmod(own, F.lit(BITS)) / 64)
+    marked = docs.join(F.broadcast(bits), word == bits["word"], "left")
+    at = F.pmod(own, F.lit(64)).cast("int")
+    can = F.coalesce(F.getbit(bits["bits"], at) == 1, F.lit(False))
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    return marked.where(can).select(columns), marked.where(~can).select(columns)
+
+
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is one of the ``ids``."""
+    return told_apart(docs, ids)[0].join(ids, "doc_id", "left_semi").select(docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The other rows of ``docs``."""
+    can, cannot = told_apart(docs, ids)
+    return cannot.unionAll(can.join(ids, "doc_id", "left_anti").select(docs.columns))
+
+
 def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
     spark = docs.sparkSession
@@ -226,8 +257,7 @@ def link(docs: DataFrame, shingle_percent: int = 75) -> DataFrame:
     )
     scratch.drop(posted)
     # Full sets of the representatives that have a partner to be compared with.
-    sets = docs.join(partners.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = sets.mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>, parts array<int>")
+    sets = among(docs, partners.select(F.col("node").alias("doc_id"))).mapInArrow(shingle_sets, "node long, shingles array<long>, brief array<int>, parts array<int>")
     if not repeated_ids(signed).isEmpty():
         sets = sets.dropDuplicates(["node"])
     sets = scratch.save(sets, "sets")
@@ -389,11 +419,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest id of each component only, once; all columns unchanged."""
     linked = Scratch(docs.sparkSession, "near").save(link(docs), "linked")
     gone = linked.where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rest = without(docs, gone)
     # Rows that share an id are one document.
     repeated = repeated_ids(linked)
     if repeated.isEmpty():
         return rest
-    single = rest.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    again = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return single.unionAll(again)
+    return without(rest, repeated).unionAll(among(rest, repeated).dropDuplicates(["doc_id"]))

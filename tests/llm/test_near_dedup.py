@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tallywise.llm import near_dedup
 
 
@@ -82,6 +85,21 @@ def test_keep_one(docs, odd):
     assert [r.doc_id for r in same.collect()] == [3]
 
 
+def test_few_rows_have_to_be_joined_to_pick_ids(spark, docs, clashing):
+    rows = [(i, f"text {i}") for i in range(-2000, 2000)] + [(None, "no id"), (7, "again")]
+    ids = spark.createDataFrame([(i,) for i in [*range(0, 400, 2), 5000]], "doc_id long")
+    wanted = {r.doc_id for r in ids.collect()}
+    for table in (clashing(docs(rows)), docs(rows).withColumn("doc_id", F.col("doc_id").cast("int")).withColumn("word", F.lit("x"))):
+        can, cannot = (part.collect() for part in near_dedup.told_apart(table, ids))
+        assert Counter(can) + Counter(cannot) == Counter(table.collect())
+        assert not wanted & {r.doc_id for r in cannot} and len(can) < 210
+        picked, rest = near_dedup.among(table, ids), near_dedup.without(table, ids)
+        assert picked.schema == rest.schema == table.schema
+        assert Counter(picked.collect()) == Counter(r for r in table.collect() if r.doc_id in wanted)
+        assert Counter(rest.collect()) == Counter(r for r in table.collect() if r.doc_id not in wanted)
+    assert near_dedup.among(docs(rows), ids.where("false")).count() == 0
+
+
 def test_empty(docs):
     assert near_dedup.link(docs([])).count() == 0
     assert near_dedup.keep_one(docs([])).count() == 0
