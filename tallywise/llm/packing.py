@@ -12,8 +12,10 @@ Pieces get a rank within their length, counted per task and summed up over tasks
 and the plan maps intervals of ranks to bins and places. So no task holds all
 pieces of a length, even if one length has a third of all.
 
-Tokenisation remembers the tokens of words: the vocabulary's rules never look beyond white
-space, so a word has the same tokens everywhere.
+Tokenisation remembers the tokens of words, in a worker over all its tasks: the vocabulary's
+rules never look beyond white space, so a word has the same tokens everywhere. Nor do they
+look from a run of letters to the marks behind it or tell capitals apart, so most words are
+remembered as a run in lower case and its marks: far fewer distinct ones.
 
 Null and empty texts have the end token only. Repeated rows are packed one by one.
 Empty input gives an empty result.
@@ -24,7 +26,8 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,15 @@ from .common import Scratch, pick
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-#: Words remembered by a task.
+#: Words remembered by a worker.
 REMEMBERED = 600_000
 #: Bytes of text that are looked up at once.
 PORTION = 4 << 20
 
 #: Joins words for the tokeniser, and words joined to one line.
 JOINT, LINE = "1", 1000
+#: A run of Latin letters, all of them composed and with one lower-case letter each, and ASCII's marks behind it.
+PARTS = r"^(?P<run>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 _NUMBER = np.dtype("<u4")
 
@@ -56,37 +61,65 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The run of letters and the marks of each word, or nothing and the whole word if it has other characters."""
+    found = pc.extract_regex(words, PARTS)
+    run, marks = (pc.struct_field(found, k).cast(words.type) for k in range(2))
+    return pc.fill_null(pc.utf8_lower(run), ""), pc.coalesce(marks, words)
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The ids of the wanted words one after the other."""
+    n = lengths[wanted]
+    stop = np.cumsum(n)
+    return ids[np.arange(n.sum()) + np.repeat(starts[wanted] - (stop - n), n)]
+
+
 class WordTokens:
     """Ids of whole texts; words are looked up by number in one array of ids."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.joint,) = self.tokenizer.encode(JOINT, add_special_tokens=False).ids
+        # For runs in lower case, which the vocabulary's own rules would leave as they are.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.forget()
 
     def forget(self) -> None:
-        """Word 0 is the end of a text."""
-        self.known: dict[str, int] = {}
-        self.ids = np.array([END_ID], _NUMBER)
-        self.starts, self.lengths = np.zeros(1, np.int64), np.ones(1, np.int64)
+        """Word 0 is nothing."""
+        self.known: dict[str, int] = {"": 0}
+        self.ids = np.empty(0, _NUMBER)
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: list[str], tokenise: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Numbers of distinct words, of which new ones are tokenised."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.forget()
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            ids, lengths = self.tokenised(new)
+            ids, lengths = tokenise(new)
             known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
             self.starts = np.append(self.starts, len(self.ids) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
             self.ids = np.append(self.ids, ids)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``tokenised``, for runs of letters in lower case; the vocabulary marks their last ids."""
+        lines = [" ".join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
+        encoded = [e.ids for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(encoded), _NUMBER)
+        at = np.flatnonzero(self.last[ids])
+        assert len(at) == len(words)
+        return ids, np.diff(at, prepend=-1)
+
     def tokenised(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words one after the other, and how many each has.
 
@@ -111,6 +144,17 @@ class WordTokens:
         stop = np.cumsum(lengths)
         return ids[np.arange(len(ids)) + np.repeat(first - (stop - lengths), lengths)], lengths
 
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and how many each has."""
+        run, rest = (part.dictionary_encode() for part in parts(words))
+        if len(self.known) + len(run.dictionary) + len(rest.dictionary) > REMEMBERED:
+            self.forget()
+        in_turn = np.column_stack([
+            self.numbers(part.dictionary.to_pylist(), tokenise)[part.indices.to_numpy()]
+            for part, tokenise in ((run, self.runs), (rest, self.tokenised))
+        ])
+        return gathered(self.ids, self.starts, self.lengths, in_turn.ravel()), self.lengths[in_turn].sum(axis=1)
+
     def in_portions(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts one after the other, each with its end; where each text starts and the last ends)."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -121,25 +165,30 @@ class WordTokens:
             words = pc.ascii_split_whitespace(texts.slice(at, end - at))
             per_text = words.value_lengths().to_numpy()
             coded = words.flatten().dictionary_encode()
-            number = self.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-            # An end behind the words of every text.
+            ids, lengths = self.of_words(coded.dictionary)
+            # Word 0 is the end of a text, and stands behind the words of every one.
+            ids, lengths = np.append(_NUMBER.type(END_ID), ids), np.append(1, lengths)
             ends = np.cumsum(per_text + 1) - 1
-            all_words = np.zeros(len(number) + len(ends), np.int64)
+            all_words = np.zeros(len(coded) + len(ends), np.int64)
             inside = np.ones(len(all_words), bool)
             inside[ends] = False
-            all_words[inside] = number
-            length = self.lengths[all_words]
-            stop = np.cumsum(length)
-            place = np.arange(stop[-1]) + np.repeat(self.starts[all_words] - (stop - length), length)
-            yield self.ids[place], np.concatenate([[0], stop[ends]])
+            all_words[inside] = coded.indices.to_numpy() + 1
+            stop = np.cumsum(lengths[all_words])
+            yield gathered(ids, np.cumsum(lengths) - lengths, lengths, all_words), np.concatenate([[0], stop[ends]])
             at = end
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks that a worker runs."""
+    return WordTokens(path)
+
+
 def cut(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, task, nth``; nth counts pieces of a length within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path or vocabulary_path())
+        tokens = word_tokens(path or vocabulary_path())
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
         for batch in batches:

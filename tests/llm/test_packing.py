@@ -33,6 +33,35 @@ def test_words_have_the_tokens_of_the_whole_text(texts):
     assert got == [plain_ids(t) for t in texts]
 
 
+def test_words_that_differ_in_capitals_and_marks_are_tokenised_once():
+    letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+    marks = [chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]
+    forms = [f("tokeniser") + m for f in (str, str.upper, str.capitalize) for m in ["", *marks, "<|", "'", ".'\""]]
+    odd = ["it's", "IT'S", "o'dell'", "a'", "İstanbul", "ΣΑΣ", "e\u0301te\u0301", "E\u0338", "naïve\u0301,", "A<|endoftext|>", "x|>", "ªµº", "ẞ", "×÷", "a\u00adb"]
+    texts = [" ".join(forms), *(f"{x}b {x} ab{x}, {x}{x}" for x in letters), " ".join(odd), " ".join(f"a{m}b {m}a" for m in marks)]
+    tokens = packing.WordTokens(packing.vocabulary_path())
+    got = [
+        ids[a:b].tolist() for ids, edges in tokens.in_portions(pa.array(texts, pa.string()))
+        for a, b in itertools.pairwise(edges.tolist())
+    ]
+    assert got == [plain_ids(t) for t in texts]
+    tokens.forget()
+    list(tokens.in_portions(pa.array([" ".join(forms)])))
+    assert len(tokens.known) < 10 + len(marks)  # the word, its marks and nothing
+
+
+def test_forgotten_words_are_tokenised_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 4)
+    monkeypatch.setattr(packing, "PORTION", 8)
+    texts = ["Aa, bb! 1c", "aa bb cc dd ee", "", "bb! aA, x1"]
+    tokens = packing.WordTokens(packing.vocabulary_path())
+    got = [
+        ids[a:b].tolist() for _ in range(2) for ids, edges in tokens.in_portions(pa.array(texts, pa.string()))
+        for a, b in itertools.pairwise(edges.tolist())
+    ]
+    assert got == 2 * [plain_ids(t) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=8), st.integers(0, 30))
 def test_fullest_is_the_best_subset(lengths, room):
