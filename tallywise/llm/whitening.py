@@ -164,9 +164,24 @@ def totals(fit: DataFrame) -> Centre | None:
     return Centre(rows[0].n, tuple(int(r.s) for r in sorted(rows, key=lambda r: r.i)))
 
 
+def first_shift(n: int, d: int, trace: float) -> float:
+    """What is added to the diagonal of the first Gram matrix; for very many rows the bound is far from sharp."""
+    return min(11 * np.finfo(float).eps * (n * d + d * (d + 1)), 1e-6) * trace
+
+
+def beyond_rounding(s: np.ndarray, n: int) -> np.ndarray:
+    """Which singular values are more than the rounding of sums in any order can leave.
+
+    In a direction without rows the last Gram matrix holds some d units of rounding, of
+    which composing takes the root, times the first factor's least entry, the shift's root.
+    """
+    d, unit = len(s), np.finfo(float).eps
+    return s > max(s[0] * unit * max(n, d) ** 0.5 * d, (d * unit * first_shift(n, d, float((s**2).sum()))) ** 0.5)
+
+
 def triangular(fit: DataFrame, centre: Centre) -> np.ndarray:
     """R with R'R equal to the Gram matrix of the centred rows, by shifted CholeskyQR."""
-    d, unit = len(centre.sums), np.finfo(float).eps
+    d = len(centre.sums)
     factors: list[np.ndarray] = []
     for step in range(PASSES):
         g = gram(fit, centre, factors)
@@ -174,8 +189,7 @@ def triangular(fit: DataFrame, centre: Centre) -> np.ndarray:
             return np.zeros((d, d))  # all rows are equal
         if step and np.abs(g - np.eye(d)).max() <= NEAR:
             break
-        shift = 11 * unit * (centre.n * d + d * (d + 1)) * np.trace(g) if not step else 0.0
-        shift = min(shift, 1e-6 * np.trace(g))  # for very many rows the bound is far from sharp
+        shift = 0.0 if step else first_shift(centre.n, d, np.trace(g))
         try:
             factors.append(np.linalg.cholesky(g + shift * np.eye(d)).T)
         except np.linalg.LinAlgError:
@@ -209,8 +223,7 @@ def fit_whitening(x: DataFrame, components: int = COMPONENTS) -> Whitening | Non
     if centre is None:
         return None
     _, s, v = np.linalg.svd(triangular(fit, centre))
-    zero = s[0] * np.finfo(float).eps * max(centre.n, len(s)) ** 0.5 * len(s)
-    some = np.flatnonzero(s > zero)[:components]
+    some = np.flatnonzero(beyond_rounding(s, centre.n))[:components]
     if not len(some):
         return None
     vectors, values = v[some].T, s[some] ** 2 / centre.n

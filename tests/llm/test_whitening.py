@@ -104,3 +104,24 @@ def test_solving_rows():
     upper = np.triu(rng.normal(size=(6, 6))) + 3 * np.eye(6)
     rows = rng.normal(size=(50, 6))
     assert whitening.solve_rows(rows, upper) @ upper == pytest.approx(rows)
+
+
+@pytest.mark.parametrize(("n", "d", "rank"), [(40, 4, 2), (400, 8, 3), (200, 64, 10)])
+def test_rank_does_not_depend_on_the_order_of_sums(monkeypatch, n, d, rank):
+    rng = np.random.default_rng(n)
+
+    def gram(fit, centre, factors, project=None):
+        total = 0
+        for rows in np.array_split(rng.permutation(fit), 4):
+            rows = centre.rows(rows)
+            for upper in factors:
+                rows = whitening.solve_rows(rows, upper)
+            total = total + rows.T @ rows
+        return total
+
+    monkeypatch.setattr(whitening, "gram", gram)
+    for _ in range(40):
+        fit = rng.integers(-200, 200, (n, rank)) @ rng.integers(-2, 3, (rank, d)) + 1_000_000
+        centre = whitening.Centre(n, tuple(int(x) for x in fit.sum(0)))
+        s = np.linalg.svd(whitening.triangular(fit, centre), compute_uv=False)
+        assert whitening.beyond_rounding(s, n).sum() == np.linalg.matrix_rank(fit - fit.mean(0), tol=1)
